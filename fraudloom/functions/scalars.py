@@ -63,8 +63,8 @@ def log1p_clipped(x: Column) -> Column:
 
 
 def clean_text(text: Column, limit: int = 400) -> Column:
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), MARKUP_PATTERN, "")
-    return F.substring(F.trim(F.regexp_replace(bare, "\x00", "")), 1, limit)
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), MARKUP_PATTERN, ""), r"\x00", "")
+    return F.substring(F.regexp_replace(bare, r"^\s+|\s+$", ""), 1, limit)
 
 
 def clean_name(text: Column) -> Column:

@@ -255,3 +255,21 @@ def clicks_per_window(clicks: DataFrame, window_s: int = 60) -> DataFrame:
     """Click counter per user and fixed window."""
     return (clicks.groupBy("user_id", (time_bucket("ts_us", window_s) * window_s).alias("window_s"))
             .agg(F.count(F.lit(1)).alias("clicks")))
+
+
+def user_timing_features(events: DataFrame, config: EngineConfig | None = None) -> DataFrame:
+    """Counts, gap statistics and burst score per event from (event_id, user_id, ts_us) alone."""
+    config = config or EngineConfig()
+    widths = {"clicks_10s": 10, "clicks_1m": 60, "clicks_5m": 300, "clicks_1h": 3600}
+    one = F.lit(1).cast("long")
+    steps = [F.struct(F.col("event_id").alias("event_id"), F.col("ts_us").alias("ts_us"), *[one.alias(n) for n in widths])]
+    for name, width in widths.items():
+        steps.append(F.struct(F.lit(None).cast("string").alias("event_id"), (F.col("ts_us") + width * SECOND + 1).alias("ts_us"),
+                              *[(-one if n == name else one * 0).alias(n) for n in widths]))
+    moves = events.select("user_id", F.inline(F.array(*steps)))
+    counts = running_steps(moves, ["user_id"], "ts_us", list(widths), time_bucket("ts_us", config.bucket_s),
+                           keep=F.col("event_id").isNotNull())
+    counts = counts.select("event_id", "user_id", *[F.col(n).cast("double").alias(n) for n in widths])
+    timing = timing_features(recent_times(events, config))
+    return counts.join(timing, "event_id").withColumn(
+        "burst_score", F.col("clicks_10s") / (F.lit(1.0) + F.col("clicks_5m") / F.lit(30.0)))

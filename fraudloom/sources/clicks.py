@@ -276,11 +276,11 @@ def sanitize_import(raw: DataFrame) -> DataFrame:
     return clean.filter("user_id is not null and ad_id is not null")
 
 
-def import_scenario(spark: SparkSession, path: str, max_events: int = 100_000) -> DataFrame:
-    """Read an exported scenario; larger files are refused as a whole, never cut."""
+def import_scenario(spark: SparkSession, path: str, max_events: int | None = 100_000) -> DataFrame:
+    """Read an exported scenario; files over ``max_events`` are refused as a whole, never cut."""
     schema = ", ".join(f"{c} string" for c in IMPORT_TEXT) + ", ts double, label string"
     raw = spark.read.schema(schema).json(path)
-    if raw.limit(max_events + 1).count() > max_events:
+    if max_events is not None and raw.limit(max_events + 1).count() > max_events:
         raise ValueError(f"import is limited to {max_events} events")
     return sanitize_import(raw)
 
