@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudloom.config import SECOND
+from fraudloom.session import materialize
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -118,14 +119,14 @@ def previous_time(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
             .withColumn(out, F.coalesce(out, "_prev")).drop("_b", "_prev"))
 
 
-def islands(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int) -> DataFrame:
-    """(keys, bucket, first, last, start, ends): maximal runs of events no more than ``gap_s`` apart.
+def islands(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int = 0, gap_us: int | None = None) -> DataFrame:
+    """(keys, bucket, first, last, start, opens, ends): maximal runs of events no more than the gap apart.
 
-    Buckets are ``gap_s`` wide, so events of one bucket always belong together and one row per (key, bucket) is enough.
-    ``start`` is the time of the run's first event; ``ends`` marks its last bucket.
+    Buckets are one gap wide, so events of one bucket always belong together and one row per (key, bucket) is enough.
+    ``start`` is the time of the run's first event; ``opens`` and ``ends`` mark its first and last bucket.
     """
-    keys, gap = list(keys), gap_s * SECOND
-    spans = (df.withColumn("bucket", time_bucket(ts, gap_s)).groupBy(*keys, "bucket")
+    keys, gap = list(keys), gap_s * SECOND if gap_us is None else gap_us
+    spans = (df.withColumn("bucket", _gap_bucket(ts, gap)).groupBy(*keys, "bucket")
              .agg(F.min(ts).alias("first"), F.max(ts).alias("last")))
     order = Window.partitionBy(*keys).orderBy("bucket")
     opens = F.col("_prev").isNull() | (F.col("first") - F.col("_prev") > gap)
@@ -136,10 +137,57 @@ def islands(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int) -> DataFram
             .drop("_prev", "_next"))
 
 
+def _gap_bucket(ts: str | Column, gap_us: int) -> Column:
+    col = F.col(ts) if isinstance(ts, str) else ts
+    return F.call_function("div", col, F.lit(gap_us).cast("long"))
+
+
 def with_island(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, out: str) -> DataFrame:
     """Add the start time of the run each event belongs to."""
     runs = islands(df, keys, ts, gap_s).select(*keys, F.col("bucket").alias("_b"), F.col("start").alias(out))
-    return df.withColumn("_b", time_bucket(ts, gap_s)).join(runs, [*keys, "_b"]).drop("_b")
+    return df.withColumn("_b", _gap_bucket(ts, gap_s * SECOND)).join(runs, [*keys, "_b"]).drop("_b")
+
+
+def throttle(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int) -> DataFrame:
+    """(keys, ts) of the events that pass a per-key throttle: the first one, then each first one ``gap_us`` or more later.
+
+    Greedy per key, yet no key is walked in order by one task. A pause of ``gap_us`` or more restarts the rule, so runs
+    between pauses are independent; a run shorter than the gap passes only its first event. In longer runs every event
+    points at the first one that may follow it, and the chain from the run's start is marked by pointer doubling: the
+    number of rounds is the logarithm of the longest run over the gap.
+    """
+    keys = list(keys)
+    points = materialize(df.select(*keys, ts).distinct(), "points")
+    runs = islands(points, keys, ts, gap_us=gap_us - 1)
+    bounds = runs.groupBy(*keys, "start").agg((F.max("last") - F.col("start")).alias("span"))
+    passed = bounds.select(*keys, F.col("start").alias(ts))
+    longest = bounds.agg(F.max("span")).first()[0] or 0
+    steps = longest // gap_us
+    if not steps:
+        return passed
+    jump = materialize(_first_after(points, keys, ts, gap_us), "jump")
+    jumps = [jump]
+    while 2 ** len(jumps) <= steps:
+        hop = jumps[-1]
+        onward = hop.select(*keys, F.col(ts).alias("next"), F.col("next").alias("far"))
+        jumps.append(materialize(hop.join(onward, [*keys, "next"]).select(*keys, ts, F.col("far").alias("next")), "jump"))
+    for hop in reversed(jumps):
+        passed = passed.unionByName(passed.join(hop, [*keys, ts]).select(*keys, F.col("next").alias(ts)))
+        passed = materialize(passed.distinct(), "passed")
+    return passed
+
+
+def _first_after(points: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
+    """(keys, ts, next): the first point at or after ts + gap, looked up in the probe's bucket and the one after it."""
+    rows = points.select(*keys, F.inline(F.array(
+        F.struct(F.col(ts).alias("at"), F.col(ts).alias("point"), F.lit(None).cast("long").alias("asked")),
+        F.struct((F.col(ts) + gap_us).alias("at"), F.lit(None).cast("long").alias("point"), F.col(ts).alias("asked")))))
+    rows = rows.withColumn("_b", _gap_bucket("at", gap_us))
+    onward = Window.partitionBy(*keys, "_b").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    probes = rows.withColumn("near", F.min("point").over(onward)).filter("asked is not null")
+    firsts = points.groupBy(*keys, (_gap_bucket(ts, gap_us) - 1).alias("_b")).agg(F.min(ts).alias("later"))
+    found = probes.join(firsts, [*keys, "_b"], "left")
+    return found.select(*keys, F.col("asked").alias(ts), F.coalesce("near", "later").alias("next")).filter("next is not null")
 
 
 def value_bucket(value: str | Column) -> Column:

@@ -124,8 +124,8 @@ def backfill_reasons(stored: DataFrame) -> DataFrame:
     bare = {k: F.lit(None).cast("string") for k in _values(None)}
     bare.update(over_limit=F.lit(""), under_limit=F.lit(""))
     said = rule_sentences(F.col("rules_fired"), None, bare)
-    rebuilt = F.coalesce(F.element_at(F.transform(said, lambda s: s["text"]), 1), fallback_sentence()["text"])
-    title = F.coalesce(F.element_at(F.transform(said, lambda s: s["title"]), 1), fallback_sentence()["title"])
+    rebuilt = F.coalesce(F.try_element_at(F.transform(said, lambda s: s["text"]), F.lit(1)), fallback_sentence()["text"])
+    title = F.coalesce(F.try_element_at(F.transform(said, lambda s: s["title"]), F.lit(1)), fallback_sentence()["title"])
     return stored.withColumns({"reason": F.coalesce("reason", capitalized(rebuilt)),
                                "reason_title": F.coalesce("reason_title", title)})
 

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from fraudloom.plans import click_queries
+from fraudloom.plans import analyst_queries, click_queries, detection_queries
 from fraudloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "click_queries"]
+__all__ = ["ORACLES", "QUERIES", "analyst_queries", "click_queries", "detection_queries"]
