@@ -92,19 +92,21 @@ def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, width_s: int, out
 
 
 def running_rows(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: dict[str, Column],
-                 bucket: Column | None = None, bucket_s: int = 300) -> DataFrame:
-    """Row-level running sums per key in (ts, order) order, with unique positions."""
-    keys = list(keys)
+                 mins: dict[str, Column] | None = None, bucket: Column | None = None, bucket_s: int = 300) -> DataFrame:
+    """Row-level running sums (and minima) per key in (ts, order) order, with unique positions."""
+    keys, mins = list(keys), mins or {}
     df = df.withColumn("_b", time_bucket(ts, bucket_s) if bucket is None else bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    carry = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
-    local = df.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
-    out = local.join(carry, [*keys, "_b"])
-    for n in sums:
-        out = out.withColumn(n, F.col(n) + F.col(f"_c_{n}"))
-    return out.drop("_b", *[f"_c_{n}" for n in sums])
+    totals = df.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
+                                         *[F.min(c).alias(f"_t_{n}") for n, c in mins.items()])
+    carry = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+                          *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins])
+    local = df.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()],
+                      *[F.min(c).over(inside).alias(n) for n, c in mins.items()])
+    out = local.join(carry.hint("merge"), [*keys, "_b"])
+    out = out.withColumns({**{n: F.col(n) + F.col(f"_c_{n}") for n in sums}, **{n: F.least(n, f"_c_{n}") for n in mins}})
+    return out.drop("_b", *[f"_c_{n}" for n in [*sums, *mins]])
 
 
 def previous_time(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], out: str,
@@ -114,9 +116,9 @@ def previous_time(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
     df = df.withColumn("_b", time_bucket(ts, bucket_s))
     inside = Window.partitionBy(*keys, "_b").orderBy(ts, *order)
     ends = df.groupBy(*keys, "_b").agg(F.max(ts).alias("_end"))
-    carry = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_prev"))
+    carry = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carried"))
     return (df.withColumn(out, F.lag(ts).over(inside)).join(carry, [*keys, "_b"])
-            .withColumn(out, F.coalesce(out, "_prev")).drop("_b", "_prev"))
+            .withColumn(out, F.coalesce(out, "_carried")).drop("_b", "_carried"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int = 0, gap_us: int | None = None) -> DataFrame:
@@ -209,17 +211,24 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     """
     keys = list(keys)
     ranked = order_statistics(df, keys, value)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    pos = F.col("prob") * (F.col("size") - 1)
-    want = (sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-            .withColumn("pos", pos))
-    lo = F.floor("pos").cast("long")
-    ranks = want.select(*keys, "prob", F.explode(F.array(
-        F.struct(lo.alias("rank"), (F.lit(1.0) - (F.col("pos") - lo)).alias("w")),
-        F.struct(F.least(lo + 1, F.col("size") - 1).alias("rank"), (F.col("pos") - lo).alias("w")))).alias("r"))
-    # A handful of wanted ranks per key: one row per key, so they ride along with the ranked values.
-    wanted = ranks.groupBy(*keys).agg(F.collect_list(F.struct("prob", "r.rank", "r.w")).alias("wanted"))
-    hits = (ranked.join(wanted, keys) if keys else ranked.withColumn("wanted", wanted.scalar()))
-    inside = F.filter("wanted", lambda x: (x["rank"] < F.col("n")) & (x["rank"] >= F.col("n") - F.col("n_step")))
-    picked = hits.select(*keys, value, F.explode(inside).alias("x"))
-    return picked.groupBy(*keys, F.col("x.prob").alias("prob")).agg(F.sum(F.col(value) * F.col("x.w")).alias("q"))
+    want = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+            .withColumn("wanted", F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.struct(
+                p.alias("prob"), F.floor(p * (F.col("size") - 1)).cast("long").alias("low"),
+                (p * (F.col("size") - 1) - F.floor(p * (F.col("size") - 1))).alias("part")))))
+    hits = ranked.join(want, keys)
+    covers = lambda rank: (rank < F.col("n")) & (rank >= F.col("n") - F.col("n_step"))
+    near = F.filter("wanted", lambda w: covers(w["low"]) | covers(F.least(w["low"] + 1, F.col("size") - 1)))
+    picked = hits.select(*keys, value, "n", "n_step", "size", F.explode(near).alias("w"))
+    low = F.max(F.when(covers(F.col("w.low")), F.col(value)))
+    high = F.max(F.when(covers(F.least(F.col("w.low") + 1, F.col("size") - 1)), F.col(value)))
+    return (picked.groupBy(*keys, F.col("w.prob").alias("prob"), F.col("w.part").alias("part"))
+            .agg(low.alias("low"), high.alias("high"))
+            .select(*keys, "prob", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q")))
+
+
+def count_below(probes: DataFrame, reference: DataFrame, value: str, out: str) -> DataFrame:
+    """Add to each probe how many reference values are smaller: one merged ranking instead of a range join."""
+    marks = reference.select(F.lit(0).alias("all"), value, F.lit(1).cast("long").alias("n")).unionByName(
+        probes.select(F.lit(0).alias("all"), value, F.lit(0).cast("long").alias("n")))
+    ranked = running_totals(marks, ["all"], value, ["n"], value_bucket(value))
+    return probes.join(ranked.select(value, (F.col("n") - F.col("n_step")).alias(out)), value)
