@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fraudloom.config import SECOND, EngineConfig
@@ -45,9 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each round replaces edges by at most as many edges
     that point at smaller names; it ends when a round changes nothing. Lineage is cut every round.
     """
-    links = materialize(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
-                        .filter("hi <> lo").distinct(), "links")
-    mark = _fingerprint(links)
+    links, mark = _cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
+                       .filter("hi <> lo").distinct())
     for _ in range(max_rounds):
         both = links.select(F.inline(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")),
                                              F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")))))
@@ -55,8 +54,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.filter("hi <> lo").distinct().select(F.col("hi").alias("node"), F.col("lo").alias("other"))
         small = _star(down).select(F.inline(F.array(F.struct(F.col("node").alias("hi"), F.col("low").alias("lo")),
                                                     F.struct(F.col("other").alias("hi"), F.col("low").alias("lo")))))
-        links = materialize(small.filter("hi <> lo").distinct(), "links")
-        now = _fingerprint(links)
+        links, now = _cut(small.filter("hi <> lo").distinct())
         if now == mark:
             break
         mark = now
@@ -66,11 +64,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    """Row count and an order-free checksum; three numbers reach the driver."""
-    h = F.xxhash64("hi", "lo")
-    row = links.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
-    return tuple(row)
+def _cut(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write the links of a round, and take their count and an order-free checksum in the same pass."""
+    seen, h = Observation(), F.xxhash64("hi", "lo")
+    watched = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor"))
+    out = materialize(watched, "links")
+    return out, tuple(seen.get.values())
 
 
 def node_type(node: Column) -> Column:

@@ -47,10 +47,11 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
 def rule_sentences(rules: Column, config: EngineConfig | None = None, values: dict[str, Column] | None = None) -> Column:
     """Array of (title, text) of the fired rules, in their order."""
     values = values or _values(config)
-    entries = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(title).alias("title"),
-                                 F.coalesce(_fill(text, values), F.lit(text.split("{")[0].strip())).alias("text"))
-                        for name, (title, text) in sorted(RULE_TEXT.items())])
-    return F.filter(entries, lambda e: F.array_contains(rules, e["rule"]))
+    # A CASE per rule: the text of a rule that did not fire is never built.
+    said = [F.when(F.array_contains(rules, name), F.struct(
+        F.lit(title).alias("title"), F.coalesce(_fill(text, values), F.lit(text.split("{")[0].strip())).alias("text")))
+        for name, (title, text) in sorted(RULE_TEXT.items())]
+    return F.array_compact(F.array(*said))
 
 
 def factor_line(factor: Column) -> Column:
@@ -109,8 +110,7 @@ def capitalized(text: Column) -> Column:
 
 def explain(table: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """Add ``reason_title`` and ``reason``. Needs score_*, rules_fired, factors, ip_mask and the features."""
-    sentences = F.transform(rule_sentences(F.col("rules_fired"), config), lambda s: F.struct(s["title"], s["text"]))
-    table = table.withColumn("_said", sentences)
+    table = table.withColumn("_said", rule_sentences(F.col("rules_fired"), config))
     table = table.withColumn("_said", F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.array(fallback_sentence())))
     texts = F.transform(F.slice("_said", 1, 2), lambda s: s["text"])
     extra = F.filter(F.slice(factor_lines(F.col("factors")), 1, 3), lambda x: ~F.array_contains(texts, x))

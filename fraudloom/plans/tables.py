@@ -13,7 +13,7 @@ from fraudloom.operators.graph import snapshot_components, snapshot_scores, with
 from fraudloom.operators.patterns import classify
 from fraudloom.operators.reasons import explain, rule_factors
 from fraudloom.operators.rules import evaluate_rules
-from fraudloom.session import staged
+from fraudloom.session import staged, together
 from fraudloom.sources.clicks import blocked_by, deduplicate, load_clicks
 
 CONFIG = EngineConfig()
@@ -56,12 +56,15 @@ def score(table: DataFrame, graph: DataFrame | None, config: EngineConfig = CONF
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
     """One wide row per click: click, features, layer scores, decision, reason and classification."""
-    return staged(spark, "decisions", (folder,), lambda: score(features(spark, folder), graph_scores(spark, folder)))
+    def build() -> DataFrame:
+        clicks(spark, folder)
+        return score(*together(lambda: features(spark, folder), lambda: graph_scores(spark, folder)))
+    return staged(spark, "decisions", (folder,), build)
 
 
 def blocklist(spark: SparkSession) -> DataFrame:
     """Example blocklist: one user, one device, one address."""
-    return spark.createDataFrame([("user", "U0"), ("device", "D1"), ("ip", "45.9.0.7")], "entity_type string, entity_id string")
+    return spark.sql("select * from values ('user', 'U0'), ('device', 'D1'), ('ip', '45.9.0.7') as t(entity_type, entity_id)")
 
 
 def enforced(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent builders at the same time, so that one's short stages fill the gaps of the other's."""
+    with ThreadPoolExecutor(len(builders)) as pool:
+        return list(pool.map(lambda build: build(), builders))
+
+
 def staged(spark: SparkSession, name: str, inputs: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """Build a table once per application and input set, then reuse its files.
 
