@@ -18,6 +18,15 @@ def flagged_n() -> Column:
     return flagged_sum(F.col("action")).alias("flagged")
 
 
+def mean_risk() -> Column:
+    """Mean of the four-digit risk, summed as integers so that the order of the rows cannot show."""
+    return F.sum(F.round(F.col("risk") * 10000).cast("long")) / rows_n() / F.lit(10000.0)
+
+
+def three_digits(x: Column) -> Column:
+    return F.floor(x * 1000 + 0.5) / F.lit(1000.0)
+
+
 def levels_from(min_level: str) -> list[str]:
     return [name for name, rank in LEVEL_RANK.items() if rank >= LEVEL_RANK[min_level]]
 
@@ -68,7 +77,7 @@ def search_everything(table: DataFrame, q: str, limit: int = 20) -> DataFrame:
 
 
 def top_risk_users(table: DataFrame, limit: int = 10) -> DataFrame:
-    users = table.groupBy("user_id").agg(F.max("risk").alias("max_risk"), F.avg("risk").alias("avg_risk"), rows_n().alias("clicks"), flagged_n())
+    users = table.groupBy("user_id").agg(F.max("risk").alias("max_risk"), mean_risk().alias("avg_risk"), rows_n().alias("clicks"), flagged_n())
     return users.orderBy(F.desc("max_risk"), F.desc("flagged"), "user_id").limit(limit)
 
 
@@ -92,7 +101,7 @@ def timeline(table: DataFrame, window: str = "5m", now: Column | None = None) ->
         table = table.filter(F.col("ts_us") >= now - span * SECOND)
     return table.groupBy(bucket_start("ts_us", bucket).alias("bucket_s")).agg(
         rows_n().alias("n"), flagged_n(), F.sum(F.when(F.col("action") == "BLOCK", 1).otherwise(0)).alias("blocked"),
-        F.avg("risk").alias("avg_risk"), F.max("risk").alias("max_risk"))
+        mean_risk().alias("avg_risk"), F.max("risk").alias("max_risk"))
 
 
 def device_types(table: DataFrame, devices: DataFrame) -> DataFrame:
@@ -124,8 +133,8 @@ def criticals_n() -> Column:
 def combined_clusters(table: DataFrame, min_risk: float = 0.0, limit: int = 40) -> DataFrame:
     out = table.filter(F.col("risk") >= min_risk).groupBy(cluster_key().alias("k")).agg(
         rows_n().alias("events"), F.count_distinct("user_id").alias("users"), F.count_distinct("device_id").alias("devices"),
-        F.count_distinct("ip_mask").alias("ips"), F.round(F.max("risk"), 3).alias("peak_risk"),
-        F.round(F.avg("risk"), 3).alias("avg_risk"), criticals_n())
+        F.count_distinct("ip_mask").alias("ips"), three_digits(F.max("risk")).alias("peak_risk"),
+        three_digits(mean_risk()).alias("avg_risk"), criticals_n())
     return out.filter("events >= 2").orderBy(F.desc("peak_risk"), F.desc("events"), "k").limit(limit)
 
 
@@ -140,25 +149,25 @@ def combined_kinds(decisions: DataFrame, incidents: DataFrame, alerts: DataFrame
 
 def combined_totals(table: DataFrame, min_risk: float = 0.0) -> DataFrame:
     return table.filter(F.col("risk") >= min_risk).agg(
-        rows_n().alias("decisions"), F.count_distinct("user_id").alias("users"), F.round(F.max("risk"), 3).alias("peak_risk"),
-        F.round(F.avg("risk"), 3).alias("avg_risk"))
+        rows_n().alias("decisions"), F.count_distinct("user_id").alias("users"), three_digits(F.max("risk")).alias("peak_risk"),
+        three_digits(mean_risk()).alias("avg_risk"))
 
 
 def combined_timeline(table: DataFrame, min_risk: float = 0.0, last: int = 48) -> DataFrame:
     out = table.filter(F.col("risk") >= min_risk).groupBy(bucket_start("ts_us", 300).alias("bucket_s")).agg(
-        rows_n().alias("n"), F.round(F.max("risk"), 3).alias("peak_risk"))
+        rows_n().alias("n"), three_digits(F.max("risk")).alias("peak_risk"))
     return out.orderBy(F.desc("bucket_s")).limit(last)
 
 
 def targeted_campaigns(table: DataFrame, limit: int = 40) -> DataFrame:
     out = table.groupBy("campaign_id").agg(rows_n().alias("clicks"), F.count_distinct("user_id").alias("users"),
-                                           F.round(F.max("risk"), 3).alias("peak_risk"), criticals_n())
+                                           three_digits(F.max("risk")).alias("peak_risk"), criticals_n())
     return out.orderBy(F.desc("criticals"), F.desc("clicks"), "campaign_id").limit(limit)
 
 
 def targeted_victims(table: DataFrame, limit: int = 40) -> DataFrame:
     out = table.filter("risk >= 0.4").groupBy("user_id").agg(
-        F.max("country").alias("country"), rows_n().alias("clicks"), F.round(F.max("risk"), 3).alias("peak_risk"),
+        F.max("country").alias("country"), rows_n().alias("clicks"), three_digits(F.max("risk")).alias("peak_risk"),
         F.count_distinct("campaign_id").alias("campaigns"), F.count_distinct("device_id").alias("devices"))
     return out.orderBy(F.desc("peak_risk"), F.desc("clicks"), "user_id").limit(limit)
 

@@ -42,31 +42,22 @@ COUNT_STEPS = [
 
 
 def _pick(code: Column, values: list) -> Column:
-    """Value for a small integer code, as a CASE chain that stays inside code generation."""
-    groups: dict = {}
-    for i, v in enumerate(values):
-        groups.setdefault(v, []).append(i)
-    default = max(groups, key=lambda v: len(groups[v]))
-    chain = None
-    for v, codes in groups.items():
-        if v != default:
-            chain = (F if chain is None else chain).when(code.isin(codes), F.lit(v))
-    return F.lit(default) if chain is None else chain.otherwise(F.lit(default))
+    """Value for a small integer code: a constant array keeps the generated code short, unlike a CASE per column."""
+    return F.lit(values[0]) if len(set(values)) == 1 else F.get(F.array(*[F.lit(v) for v in values]), code)
 
 
 def _count_steps(clicks: DataFrame) -> DataFrame:
     """Rows that open and close every counting window of a click."""
     code = F.col("code")
     kinds = [k for k, _, _ in COUNT_STEPS]
-    key = F.lit("*")
-    for kind, column in ((CAMPAIGN, "campaign_id"), (IP, "ip_address"), (DEVICE, "device_id"), (USER, "user_id")):
-        key = F.when(code.isin([i for i, k in enumerate(kinds) if k == kind]), F.col(column)).otherwise(key)
-    at_event = [i for i, (_, after, _) in enumerate(COUNT_STEPS) if after is None]
+    kind = _pick(code, kinds)
+    key = F.get(F.array("user_id", "device_id", "ip_address", "campaign_id", F.lit("*")), kind)
+    at_event = _pick(code, [after is None for _, after, _ in COUNT_STEPS])
     shift = _pick(code, [0 if after is None else after * SECOND + 1 for _, after, _ in COUNT_STEPS])
     rows = clicks.select("event_id", "ts_us", "user_id", "device_id", "ip_address", "campaign_id",
                          F.explode(F.array(*[F.lit(i) for i in range(len(COUNT_STEPS))])).alias("code"))
-    return rows.select(_pick(code, kinds).alias("kind"), key.alias("key"), (F.col("ts_us") + shift).alias("ts_us"),
-                       F.when(code.isin(at_event), F.col("event_id")).alias("event_id"),
+    return rows.select(kind.alias("kind"), key.alias("key"), (F.col("ts_us") + shift).alias("ts_us"),
+                       F.when(at_event, F.col("event_id")).alias("event_id"),
                        *[_pick(code, [change.get(m, 0) for _, _, change in COUNT_STEPS]).alias(m) for m in MEASURES])
 
 

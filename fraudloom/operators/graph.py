@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.config import SECOND, EngineConfig
@@ -65,11 +65,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _cut(links: DataFrame) -> tuple[DataFrame, tuple]:
-    """Write the links of a round, and take their count and an order-free checksum in the same pass."""
-    seen, h = Observation(), F.xxhash64("hi", "lo")
-    watched = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor"))
-    out = materialize(watched, "links")
-    return out, tuple(seen.get.values())
+    """Write the links of a round; their count and an order-free checksum are three numbers on the driver."""
+    out, h = materialize(links, "links"), F.xxhash64("hi", "lo")
+    return out, tuple(out.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
 def node_type(node: Column) -> Column:

@@ -148,6 +148,6 @@ def recommend(latest: DataFrame) -> DataFrame:
     action = F.when(F.col("risk") >= 0.9, "block").when(F.col("risk") >= 0.5, "monitor").otherwise("allow")
     kind = attack_type()
     headline = F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(F.concat(kind, F.lit(": no strong evidence")))
-    return latest.select("user_id", "event_id", kind.alias("attack_type"), F.round("risk", 3).alias("confidence"),
+    return latest.select("user_id", "event_id", kind.alias("attack_type"), (F.floor(F.col("risk") * 1000 + 0.5) / F.lit(1000.0)).alias("confidence"),
                          headline.alias("summary"), action.alias("recommendation"), "reason_title",
                          F.lit("pending").alias("status"))

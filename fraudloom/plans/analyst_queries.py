@@ -20,11 +20,14 @@ from fraudloom.plans.registry import joined, query, r6, r6_of
 from fraudloom.session import staged
 from fraudloom.sources import clicks as C
 
+MEAN_RISK = "sum(round(risk * 10000)::bigint)::double / count(*) / 10000.0::double"
+THREE_MEAN = f"floor(({MEAN_RISK}) * 1000 + 0.5) / 1000"
+THREE_MAX = "floor(max(risk) * 1000 + 0.5) / 1000"
 CRIT = "count(*) filter (level = 'CRITICAL')"
 
 
 # ---------------------------------------------------------------- views
-@query("q1_top_risk_users", sql(f"""select user_id, max(risk) as max_risk, {r6_of('avg(risk)')} as avg_risk, count(*) as clicks, {FLAGGED} as flagged
+@query("q1_top_risk_users", sql(f"""select user_id, max(risk) as max_risk, {r6_of(MEAN_RISK)} as avg_risk, count(*) as clicks, {FLAGGED} as flagged
 from decisions group by 1 order by max_risk desc, flagged desc, user_id limit 10""", "decisions"))
 def top_risk_users(spark, folder):
     return Q.top_risk_users(T.decisions(spark, folder), 10).select("user_id", "max_risk", r6("avg_risk"), "clicks", "flagged")
@@ -84,7 +87,7 @@ def by_attack(spark, folder):
 
 
 @query("q12_timeline", sql(f"""select ts_us // 60000000 * 60 as bucket_s, count(*) as n, {FLAGGED} as flagged, count(*) filter (action = 'BLOCK') as blocked,
-  {r6_of('avg(risk)')} as avg_risk, max(risk) as max_risk from decisions where ts_us >= (select max(ts_us) from decisions) - 3600000000 group by 1""", "decisions"))
+  {r6_of(MEAN_RISK)} as avg_risk, max(risk) as max_risk from decisions where ts_us >= (select max(ts_us) from decisions) - 3600000000 group by 1""", "decisions"))
 def timeline(spark, folder):
     rows = T.decisions(spark, folder)
     out = Q.timeline(rows, "1h", rows.agg(F.max("ts_us")).scalar())
@@ -120,26 +123,26 @@ for _name, _column, _limit in (("q15_campaign_users", "user_id", 8), ("q16_campa
 
 
 @query("q18_clusters", sql(f"""select coalesce(nullif(campaign_id, ''), nullif(ad_id, ''), nullif(device_id, ''), 'unattributed') as k, count(*) as events,
-  count(distinct user_id) as users, count(distinct device_id) as devices, count(distinct ip_mask) as ips, round(max(risk), 3) as peak_risk,
-  round(avg(risk), 3) as avg_risk, {CRIT} as criticals from decisions where risk >= 0.3 group by 1 having count(*) >= 2 order by peak_risk desc, events desc, k limit 40""", "decisions"))
+  count(distinct user_id) as users, count(distinct device_id) as devices, count(distinct ip_mask) as ips, {THREE_MAX} as peak_risk,
+  {THREE_MEAN} as avg_risk, {CRIT} as criticals from decisions where risk >= 0.3 group by 1 having count(*) >= 2 order by peak_risk desc, events desc, k limit 40""", "decisions"))
 def clusters(spark, folder):
     return Q.combined_clusters(T.decisions(spark, folder), 0.3, 40)
 
 
-@query("q20_combined_totals", sql("select count(*) as decisions, count(distinct user_id) as users, round(max(risk), 3) as peak_risk, round(avg(risk), 3) as avg_risk from decisions where risk >= 0.3", "decisions"))
+@query("q20_combined_totals", sql(f"select count(*) as decisions, count(distinct user_id) as users, {THREE_MAX} as peak_risk, {THREE_MEAN} as avg_risk from decisions where risk >= 0.3", "decisions"))
 def combined_totals(spark, folder):
     return Q.combined_totals(T.decisions(spark, folder), 0.3)
 
 
-@query("q21_combined_timeline", sql("select ts_us // 300000000 * 300 as bucket_s, count(*) as n, round(max(risk), 3) as peak_risk from decisions where risk >= 0.3 group by 1 order by 1 desc limit 48", "decisions"))
+@query("q21_combined_timeline", sql(f"select ts_us // 300000000 * 300 as bucket_s, count(*) as n, {THREE_MAX} as peak_risk from decisions where risk >= 0.3 group by 1 order by 1 desc limit 48", "decisions"))
 def combined_timeline(spark, folder):
     return Q.combined_timeline(T.decisions(spark, folder), 0.3)
 
 
 TARGETED = f"""
-tcamp as (select campaign_id, count(*) as clicks, count(distinct user_id) as users, round(max(risk), 3) as peak_risk, {CRIT} as criticals
+tcamp as (select campaign_id, count(*) as clicks, count(distinct user_id) as users, {THREE_MAX} as peak_risk, {CRIT} as criticals
   from decisions group by 1 order by criticals desc, clicks desc, campaign_id limit 40),
-tvict as (select user_id, max(country) as country, count(*) as clicks, round(max(risk), 3) as peak_risk, count(distinct campaign_id) as campaigns,
+tvict as (select user_id, max(country) as country, count(*) as clicks, {THREE_MAX} as peak_risk, count(distinct campaign_id) as campaigns,
   count(distinct device_id) as devices from decisions where risk >= 0.4 group by 1 order by peak_risk desc, clicks desc, user_id limit 40)"""
 
 
@@ -309,7 +312,7 @@ def enforced_blocks(spark, folder):
     return reject_blocked(marked).select("event_id", "action", "risk")
 
 
-@query("a8_approved_blocks", sql("""select 'user' as entity_type, user_id as entity_id, 'approved recommendation: ' || kind as reason, round(risk, 3) as confidence
+@query("a8_approved_blocks", sql("""select 'user' as entity_type, user_id as entity_id, 'approved recommendation: ' || kind as reason, floor(risk * 1000 + 0.5) / 1000 as confidence
 from latest where risk >= 0.9 and event_type <> 'purchase'""", "decisions", INVESTIGATED))
 def approved_blocks(spark, folder):
     last = FE.latest_per_user(T.decisions(spark, folder), [*LATEST_COLUMNS, "event_type"])

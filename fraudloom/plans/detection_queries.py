@@ -326,7 +326,7 @@ def attack_types(spark, folder):
     return _latest(spark, folder).select("user_id", "event_id", X.attack_type().alias("attack_type"))
 
 
-@query("x6_recommendation", sql("""select user_id, event_id, kind as attack_type, round(risk, 3) as confidence, reason as summary,
+@query("x6_recommendation", sql("""select user_id, event_id, kind as attack_type, floor(risk * 1000 + 0.5) / 1000 as confidence, reason as summary,
   case when risk >= 0.9 then 'block' when risk >= 0.5 then 'monitor' else 'allow' end as recommendation, reason_title, 'pending' as status from latest""",
                                     "decisions", INVESTIGATED))
 def recommendations(spark, folder):
