@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import line_dedup, simhash
+from fraudloom.llm import language, line_dedup, outliers, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,44 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(reasons(table(spark, folder, "documents")))
     return out.withColumnRenamed("event_id", "doc_id")
+
+
+SPAN_SQL = "array_join(transform({}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
+BASE = "filter(findings, x -> x.kind <> 'model')"
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    out = secrets.find_secrets(reasons(table(spark, folder, "documents").select("doc_id", "text")))
+    count = "cast(size(filter(findings, x -> x.kind = '{0}')) as bigint) as n_{0}"
+    return out.selectExpr("event_id as doc_id", *[count.format(kind) for kind in ("assign", "access", "hex")],
+                          f"sha2(cast({SPAN_SQL.format(BASE)} as binary), 256) as base_sha256", f"{SPAN_SQL.format('findings')} as spans")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = language.identify_language(reasons(table(spark, folder, "documents").select("doc_id", "text", "lang")))
+    return out.select(F.col("event_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected", "lang")
+
+
+OP1_SQL = """
+with d as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+r as (select *, min(page_id) over (partition by h) as first_id from d)
+select page_id, strlen(h) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(x, ((i // 4) * 5 + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from r"""
+
+
+@query("op1_warc", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("event_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    out = warc.read_archive(spark, warc.write_archive(pages))
+    return out.select(F.col("event_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op8_quality_outliers")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.quality_verdict(reasons(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))).withColumnRenamed("event_id", "doc_id")
