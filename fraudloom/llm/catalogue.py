@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import language, line_dedup, outliers, secrets, simhash, warc
+from fraudloom.llm import decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,38 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality_outliers")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.quality_verdict(reasons(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))).withColumnRenamed("event_id", "doc_id")
+
+
+#: Wanted shares of the training tokens by domain.
+TARGETS = {"good": 0.94, "low": 0.05, "toxic": 0.01}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and (toxic is not null or quality is not null)").select(
+        F.col("doc_id").alias("event_id"), F.expr("case when toxic = 1 then 'toxic' when quality = 0 then 'low' else 'good' end").alias("domain"))
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = reasons(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    out = mixing.mix_sources(docs, domains(table(spark, folder, "labels")), TARGETS)
+    names = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return out.select(F.col("event_id").alias("doc_id"), "source", "n_tokens", *names, "rate")
+
+
+def cases(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("reason"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = decontaminate.mark_leaks(reasons(table(spark, folder, "documents").select("doc_id", "text")), cases(spark, folder))
+    return out.select(F.col("event_id").alias("doc_id"), F.explode("leaks").alias("l")).selectExpr(
+        "doc_id", "l.case_id as item_id", "l.score as score", "l.at_word as at_word")
+
+
+@query("op7_quality_grades")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    grades = table(spark, folder, "labels").selectExpr("doc_id as event_id", "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end as grade")
+    out = ordinal.grade_quality(reasons(table(spark, folder, "documents").select("doc_id", "text")), grades)
+    return out.select(F.col("event_id").alias("doc_id"), "expected_grade", "p_top", "selected")
