@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, warc
+from fraudloom.llm import decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     grades = table(spark, folder, "labels").selectExpr("doc_id as event_id", "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end as grade")
     out = ordinal.grade_quality(reasons(table(spark, folder, "documents").select("doc_id", "text")), grades)
     return out.select(F.col("event_id").alias("doc_id"), "expected_grade", "p_top", "selected")
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix.remove_repeats(reasons(table(spark, folder, "documents").select("doc_id", "text")))
+    return out.select(F.col("event_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
