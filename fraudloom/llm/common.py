@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The whitespace of the word and line contracts, ``[\x20\x09-\x0D]``.
@@ -38,6 +39,19 @@ def map_rows(df: DataFrame, inputs: list[str], outputs: dict[str, T.DataType], r
     return df.mapInArrow(run, schema)
 
 
+def pack(records: DataFrame, *used: str) -> DataFrame:
+    """The columns an operator works on, and all others in one column ``_rest``, where their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in records.columns if c not in used] or [F.lit(None).cast("string").alias("_")]
+    return records.select(*used, F.struct(*rest).alias("_rest"))
+
+
+def unpack(result: DataFrame, records: DataFrame, made: list[str], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``records`` in their order, but for ``dropped`` ones and those that a result replaces, and then the results."""
+    names = [c for c in records.columns if c not in dropped and c.lower() not in {m.lower() for m in made}]
+    packed = set(result.schema["_rest"].dataType.names)
+    return result.select(*[F.col(f"_rest.`{c}`" if c in packed else f"`{c}`").alias(c) for c in names], *made)
+
+
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut into pieces of about ``most`` bytes, so that long texts do not pile up in a worker; one row is never cut."""
     if batch.num_rows and batch.nbytes > most:

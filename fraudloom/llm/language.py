@@ -24,12 +24,12 @@ def subwords(data: bytes, buckets: int) -> list[np.ndarray]:
     """For each subword size, the bucket of the byte n-gram that starts at each position; 0 where a boundary lies inside."""
     b = _LETTER[np.frombuffer(data, dtype=np.uint8)].astype(np.uint32)
     out, h = [], b
-    inside = np.ones(len(b), bool)
+    inside = np.concatenate([(b[:-1] != 32) | (b[1:] != 32), np.zeros(min(1, len(b)), bool)])
     for n in range(2, max(SIZES) + 1):
         m = max(0, len(b) - n + 1)
         h = h[:m] * np.uint32(0x01000193) ^ b[n - 1:n - 1 + m]
         if n > 2:
-            inside = inside[:m] & (b[n - 2:n - 2 + m] != 32)
+            inside = inside[:m] & (b[n - 2:n - 2 + m] != 32)  # so a text's runs never reach into the next
         if n in SIZES:
             mixed = h * np.uint32(0x9E3779B1)
             out.append(np.where(inside[:m], (mixed >> np.uint32(8)) % np.uint32(buckets - 1) + np.uint32(1), np.uint32(0)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudloom.llm.common import LOWER, WHITE, map_rows, slices
+from fraudloom.llm.common import LOWER, WHITE, map_rows, pack, slices, unpack
 from fraudloom.session import materialize
 
 BLOCK = 1 << 19
@@ -136,7 +136,6 @@ def dedup_lines(records: DataFrame, min_chars: int = 20, min_records: int = 3, f
             kept.append(text)
         return kept, before, gone
 
-    joined = records.join(goes, F.col("event_id") == F.col("_of"), "left").drop("_of")
+    joined = pack(records, "event_id", "reason").join(goes, F.col("event_id") == F.col("_of"), "left").drop("_of")
     out = map_rows(joined, ["reason", "_keys"], {"reason": T.StringType(), "n_lines": T.LongType(), "n_dropped": T.LongType()}, cut)
-    extra = [c for c in records.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return out.select(*extra, "n_lines", "n_dropped")
+    return unpack(out, records, ["n_lines", "n_dropped"])

@@ -55,11 +55,10 @@ def domain_posteriors(records: DataFrame, labelled: DataFrame, domains: list[str
     """Add ``posterior`` (array, in the order of ``domains``) and ``n_tokens`` (words between whitespace) to records."""
     index = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")) - 1
     known = labelled.filter(F.col("domain").isin(domains)).select("event_id", index.cast("int").alias("k"))
-    rated = records.select("event_id", "reason").join(known, "event_id")
     shares = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as domains
     names = {"posterior": T.ArrayType(T.DoubleType()), "n_tokens": T.LongType()}
     count = lambda texts: [len((t or "").encode(errors="replace").split()) for t in texts]
-    bags, classes = labelled_bags(rated, "k", per_domain, list(range(len(domains))), buckets)
+    bags, classes = labelled_bags(records, known, "k", per_domain, list(range(len(domains))), buckets)
     if not bags:
         return map_rows(records, ["reason"], names, lambda texts: ([[1 / len(domains)] * len(domains)] * len(texts), count(texts)))
     prior = np.array([shares.get(k, 0) for k in range(len(domains))], float)
@@ -121,7 +120,7 @@ def mix_sources(records: DataFrame, labelled: DataFrame, targets: dict[str, floa
     ``targets``: share of tokens by domain, scaled to sum to one. Adds ``n_tokens``, ``posterior`` and ``rate``, the expected number of
     times to use the record (0 leaves it out). Targets outside what nonnegative rates can reach are met as nearly as least squares allow.
 
-    Learning takes at most ``per_domain`` labelled records of each domain; labels with a null or unlisted domain or an unknown id
+    Learning takes at most ``per_domain`` labels of each domain, and of these the ones whose record is there; labels with a null or unlisted domain or an unknown id
     are ignored, and a record labelled twice counts for each label. Without labels all posteriors are equal and every rate stays one
     unless the targets are uneven, which then cannot be met. Null and empty texts have no tokens and rate as their posterior says; repeated
     rows are rated alike; an empty table gives an empty result. Input columns with the result's names are replaced.

@@ -75,15 +75,20 @@ def fit(bags: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
     return model
 
 
-def labelled_bags(rated: DataFrame, label: str, per_class: int, classes: list[int], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature sets of a bounded sample: at most ``per_class`` rows of each class, those with the smallest hash of id and text."""
-    draw = F.xxhash64("event_id", "reason")
-    out: list[tuple[int, bytes]] = []
-    for k in classes:
-        some = rated.filter(F.col(label) == k).select("event_id", "reason", F.lit(k).alias("class")).orderBy(draw, "event_id").limit(per_class)
-        sets = map_rows(some.repartition(8), ["reason"], {"at": T.BinaryType()}, lambda texts: [[contained(t, buckets).astype(np.uint32).tobytes() for t in texts]])
-        out += [(r["class"], bytes(r["at"])) for r in sets.select("class", "at").collect()]
-    out.sort()
+def labelled_bags(records: DataFrame, labels: DataFrame, label: str, per_class: int, classes: list[int], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature sets of a bounded sample: at most ``per_class`` labels of each class, those with the smallest hash of the id.
+
+    The sample is drawn from the labels alone, so no text is shuffled: its ids, a bounded number, are sent to the scan of the records.
+    """
+    draw = F.xxhash64("event_id", F.lit("sample"))
+    known = labels.filter(F.col("event_id").isNotNull()).select("event_id", F.col(label).alias("class"))
+    parts = [known.filter(F.col("class") == k).orderBy(draw, "event_id").limit(per_class) for k in classes]
+    drawn = parts[0]
+    for part in parts[1:]:
+        drawn = drawn.unionByName(part)
+    some = records.select("event_id", "reason").join(F.broadcast(drawn), "event_id")  # len(classes) * per_class ids at most
+    sets = map_rows(some, ["reason"], {"at": T.BinaryType()}, lambda texts: [[contained(t, buckets).astype(np.uint32).tobytes() for t in texts]])
+    out = sorted((r["class"], bytes(r["at"])) for r in sets.select("class", "at").collect())
     out = [out[i] for i in np.random.default_rng(3).permutation(len(out))]
     return [np.frombuffer(at, dtype=np.uint32).astype(np.int64) for _, at in out], np.array([k for k, _ in out], dtype=np.int64)
 
@@ -93,13 +98,12 @@ def grade_quality(records: DataFrame, ratings: DataFrame, n_grades: int = 3, per
 
     ``records``: ``event_id``, ``reason``; ``ratings``: ``event_id``, ``grade`` (0 to ``n_grades`` - 1, at least two grades). Adds
     ``expected_grade``, ``p_top`` (probability of the top grade) and ``selected`` (``p_top`` reaches the model's cut). The model learns
-    from at most ``per_grade`` rated records of each grade; ratings with a null, outside grade or unknown id are ignored, and a record
+    from at most ``per_grade`` ratings of each grade, and of these from the ones whose record is there; ratings with a null, outside grade or unknown id are ignored, and a record
     rated twice counts for each rating. Whole texts are scored; null or empty text is scored like any other. Without a rating
     nothing is known: ``expected_grade`` and ``p_top`` are null and every record is selected. An empty table gives an empty result;
     input columns with the result's names are replaced.
     """
-    rated = records.select("event_id", "reason").join(ratings.filter(F.col("grade").between(0, n_grades - 1)).select("event_id", "grade"), "event_id")
-    bags, grades = labelled_bags(rated, "grade", per_grade, list(range(n_grades)), buckets)
+    bags, grades = labelled_bags(records, ratings, "grade", per_grade, list(range(n_grades)), buckets)
     names = {"expected_grade": T.DoubleType(), "p_top": T.DoubleType(), "selected": T.BooleanType()}
     if not bags:
         return map_rows(records, ["reason"], names, lambda texts: ([None] * len(texts), [None] * len(texts), [True] * len(texts)))

@@ -12,6 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudloom.llm.common import pack, unpack
 from fraudloom.session import materialize
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -102,8 +103,7 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
     Null or empty text has no words and fails the base rules. Null ``lang`` or ``source`` is a group of its own. Repeated rows
     count as often as they occur. An empty table gives an empty result. Input columns with a result's name are replaced.
     """
-    own = [*COUNTS, "n_lines", "base_failed", "distance", "kept", "group"]
-    stats = text_counts(records.drop(*own))
+    stats = text_counts(pack(records, "event_id", "reason", "lang", "source"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     key = F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")))
     prior = F.lit(100.0)  # words whose weight a short text borrows from a text of five letters a word
@@ -141,4 +141,4 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
     enough = passing.filter("group = 'rest'").limit(least_rows).count() >= least_rows
     judged = F.lit(True) if enough else F.col("group") != "rest"
     kept = ~F.col("base_failed") & (~judged | F.coalesce(F.col("distance") <= chi2_quantile(confidence, len(DIMS)), F.lit(True)))
-    return out.withColumn("kept", kept).drop("d2", "scale", "group", "n_lines", *DIMS)
+    return unpack(out.withColumn("kept", kept), records, [*COUNTS, "base_failed", "distance", "kept"], ("reason",))

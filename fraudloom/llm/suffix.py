@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudloom.llm.common import map_rows, mix64, slices
+from fraudloom.llm.common import map_rows, mix64, pack, slices, unpack
 from fraudloom.session import materialize
 
 SEED = 48
@@ -362,12 +362,12 @@ def remove_repeats(records: DataFrame, length: int = 100) -> DataFrame:
 
     Null or empty text and text under ``length`` bytes loses nothing. A null ``event_id`` comes after all others. Rows that share an
     ``event_id`` are taken in the order of their text's SHA-256, and rows equal in both are one record (none removes the other). An
-    empty table gives an empty result. Input columns with a result's name, or named ``order``, are replaced.
+    empty table gives an empty result. Input columns with a result's name are replaced.
     """
     if not 64 <= length <= 128:
         raise ValueError("length must be 64 to 128")
     made = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
-    numbered = _numbered(records.drop(*made, "order"))
+    numbered = _numbered(pack(records, "event_id", "reason"))
     size = numbered.agg(F.sum(F.octet_length("reason"))).first()[0] or 0
     buckets = max(256, size >> 25)
     texts = numbered.select("order", "reason").filter(F.octet_length("reason") >= length)
@@ -397,4 +397,4 @@ def remove_repeats(records: DataFrame, length: int = 100) -> DataFrame:
     marked = numbered.withColumn("_hit", has_span)
     hit = marked.filter("_hit").join(spans, F.col("order") == F.col("_order"), "left").drop("_order", "_hit")
     rest = marked.filter("not _hit").drop("_hit").withColumn("_spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
-    return map_rows(hit.unionByName(rest), ["reason", "_spans"], made, cut).drop("reason", "order", "_spans")
+    return unpack(map_rows(hit.unionByName(rest), ["reason", "_spans"], made, cut), records, list(made), ("reason",))
