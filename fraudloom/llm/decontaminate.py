@@ -1,7 +1,8 @@
 """Benchmark decontamination: reasons that repeat held-out evaluation cases, also edited or paraphrased.
 
-Seeds are runs of words of a case, the rarest half of each case's runs by how many reasons hold them. A seed found in a reason
-marks a passage there, and a Smith-Waterman alignment of the case with the passage decides. Cases are processed in blocks of
+Seeds are the rare runs of words of a case: those that chance would put into at most one reason, judged by how many reasons hold
+each word, or else the rarest half. (How often a run itself occurs would say nothing: a run may be frequent because its case has
+leaked often.) A seed found in a reason marks a passage there, and a Smith-Waterman alignment of the case with the passage decides. Cases are processed in blocks of
 bounded size that are sent to all tasks; reasons are never shuffled.
 """
 
@@ -53,76 +54,79 @@ def align(case: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+class Names:
+    """A sorted set of 64-bit names with a quick test."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.sorted = np.unique(names)
+        self.low = np.zeros(1 << 20, bool)
+        self.low[self.sorted & np.uint64((1 << 20) - 1)] = True
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the names that are in the set, and their places in it."""
+        if not len(self.sorted) or not len(names):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.low[names & np.uint64((1 << 20) - 1)])
+        place = np.minimum(np.searchsorted(self.sorted, names[maybe]), len(self.sorted) - 1)
+        same = self.sorted[place] == names[maybe]
+        return maybe[same], place[same]
+
+
 @dataclass
 class Block:
-    """Pieces of cases: words, the case each belongs to, and the runs with the pieces and offsets where they stand."""
+    """Pieces of cases: their words, the case each belongs to, and the runs, sorted, with the piece and offset of each."""
 
     pieces: list[np.ndarray]
     owner: list[int]
     run: int
-    seeds: np.ndarray = None
-    at: np.ndarray = None
-    names: np.ndarray = None
-    low: np.ndarray = None
-
-    def index(self, names: np.ndarray, piece: np.ndarray, offset: np.ndarray) -> None:
-        order = np.argsort(names, kind="stable")
-        self.names, self.at = names[order], np.stack([piece[order], offset[order]], axis=1)
-        self.seeds = np.unique(self.names)
-        self.low = np.zeros(1 << 20, bool)
-        self.low[self.seeds & np.uint64((1 << 20) - 1)] = True
-
-    def hits(self, found: np.ndarray) -> np.ndarray:
-        """Positions of runs that are seeds."""
-        if not len(self.seeds):
-            return np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.low[found & np.uint64((1 << 20) - 1)])
-        place = np.minimum(np.searchsorted(self.seeds, found[maybe]), len(self.seeds) - 1)
-        return maybe[self.seeds[place] == found[maybe]]
+    names: np.ndarray
+    at: np.ndarray
+    seeds: Names
 
 
 def make_block(texts: list[str | None], run: int, piece_words: int) -> Block:
     """Cases longer than ``piece_words`` words are cut into pieces that overlap by half."""
-    block = Block([], [], run)
-    names, piece, offset = [], [], []
+    pieces, owner, names, at = [], [], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
     for i, text in enumerate(texts):
         words = word_names(text)
         for start in range(0, max(1, len(words) - piece_words // 2), max(1, piece_words // 2)):
             part = words[start:start + piece_words]
-            if not len(part):
-                continue
-            r = runs(part, run)
-            names.append(r)
-            piece.append(np.full(len(r), len(block.pieces)))
-            offset.append(np.arange(len(r)))
-            block.pieces.append(part)
-            block.owner.append(i)
-    if names:
-        block.index(np.concatenate(names), np.concatenate(piece), np.concatenate(offset))
-    else:
-        block.index(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return block
-
-
-def keep_rare(block: Block, counts: dict[int, int]) -> None:
-    """Keep of each piece the runs that no more reasons hold than the piece's median run."""
-    held = np.array([counts.get(int(x), 0) for x in block.names])
-    piece = block.at[:, 0] if len(block.names) else np.zeros(0, np.int64)
-    stay = np.zeros(len(held), bool)
-    order = np.lexsort((held, piece))
-    for mine in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+            if len(part):
+                names.append(runs(part, run))
+                at.append(np.stack([np.full(len(names[-1]), len(pieces)), np.arange(len(names[-1]))], axis=1))
+                pieces.append(part)
+                owner.append(i)
+    return _indexed(pieces, owner, run, np.concatenate(names), np.concatenate(at))
+
+
+def _indexed(pieces, owner, run: int, names: np.ndarray, at: np.ndarray) -> Block:
+    order = np.argsort(names, kind="stable")
+    return Block(pieces, owner, run, names[order], at[order], Names(names))
+
+
+def keep_rare(block: Block, vocabulary: Names, counts: np.ndarray, records: int) -> Block:
+    """The block with only those runs expected in at most one of ``records`` texts, or no more often than its piece's median run.
+
+    Expected are ``records`` times the product of the shares of texts that hold each word of the run.
+    """
+    keep = np.zeros(len(block.names), bool)
+    order = np.argsort(block.at[:, 0], kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(block.at[order, 0])) + 1):
         if len(mine):
-            stay[mine] = held[mine] <= held[mine[(len(mine) - 1) // 2]]
-    block.index(block.names[stay], block.at[stay, 0], block.at[stay, 1])
+            words = block.pieces[block.at[mine[0], 0]]
+            share = np.log((counts[np.searchsorted(vocabulary.sorted, words)] + 0.5) / (records + 1))
+            n = min(block.run, len(words))
+            expected = np.array([share[o:o + n].sum() for o in block.at[mine, 1]]) + np.log(records + 1)
+            keep[mine] = expected <= max(0.0, np.sort(expected)[(len(mine) - 1) // 2])
+    return _indexed(block.pieces, block.owner, block.run, block.names[keep], block.at[keep])
 
 
 def leaks_in(text: str | None, block: Block, least_score: float, least_words: int) -> list[tuple[int, float, int]]:
     """(case number, best share of the piece that aligns, word where the alignment ends) for every case that a text repeats."""
     words = word_names(text)
     found = runs(words, block.run)
-    places = block.hits(found)
     spots: dict[int, list[int]] = {}
-    for p in places:
+    for p in block.seeds.find(found)[0]:
         a, b = np.searchsorted(block.names, found[p], "left"), np.searchsorted(block.names, found[p], "right")
         for piece, offset in block.at[a:b]:
             spots.setdefault(int(piece), []).append(int(p) - int(offset))
@@ -163,6 +167,28 @@ def _blocks(cases: DataFrame, words: int) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+def _texts_with(records: DataFrame, vocabulary: Names) -> tuple[np.ndarray, int]:
+    """How many records hold each word of the vocabulary, and how many records there are; one number a word reaches the driver."""
+    known = records.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = known.value
+        total = np.zeros(len(here.sorted) + 1, np.int64)  # the last counts texts
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    held = np.zeros(len(total), bool)
+                    held[here.find(word_names(text))[1]] = held[-1] = True
+                    total += held
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+
+    out = np.zeros(len(vocabulary.sorted) + 1, np.int64)
+    for r in records.select("reason").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["word"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def mark_leaks(records: DataFrame, cases: DataFrame, run: int = 3, least_score: float = 0.5, least_words: int = 8, piece_words: int = 200,
                block_words: int = 1_000_000) -> DataFrame:
     """Add ``leaks`` to every record: the evaluation cases its ``reason`` repeats.
@@ -173,7 +199,7 @@ def mark_leaks(records: DataFrame, cases: DataFrame, run: int = 3, least_score:
     case). A case of over ``piece_words`` words is judged by pieces that overlap by half, any of which suffices.
 
     Whole texts are read. Cases are taken in blocks of about ``block_words`` words, which bounds what is sent to tasks; each block
-    reads the records twice, once to count its runs. Null or empty texts have no leaks, null or empty cases leak nowhere, a case that occurs twice is found
+    reads the records twice, once to count its words. Null or empty texts have no leaks, null or empty cases leak nowhere, a case that occurs twice is found
     twice, and repeated records are marked alike. Empty tables give an empty result or no leaks. An input column named ``leaks`` is replaced.
     """
     spark = records.sparkSession
@@ -182,22 +208,9 @@ def mark_leaks(records: DataFrame, cases: DataFrame, run: int = 3, least_score:
     out = records.drop("leaks").withColumn("leaks", F.array().cast(kind))
     for ids, texts in _blocks(cases, block_words):
         block = make_block(texts, run, piece_words)
-        every = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            here = every.value
-            total = np.zeros(len(here.seeds), np.int64)
-            for batch in batches:
-                for part in slices(batch):
-                    for text in part.column(0).to_pylist():
-                        found = runs(word_names(text), here.run)
-                        total[np.unique(np.searchsorted(here.seeds, found[here.hits(found)]))] += 1
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(here.seeds[some].view(np.int64)), pa.array(total[some])], ["run", "n"])
-
-        counted = records.select("reason").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-        keep_rare(block, {r["run"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counted.toLocalIterator()})  # at most one row per run of the block
-        rare = spark.sparkContext.broadcast((block, ids))
+        vocabulary = Names(np.concatenate([np.zeros(0, np.uint64), *block.pieces]))
+        counts, total = _texts_with(records, vocabulary)
+        rare = spark.sparkContext.broadcast((keep_rare(block, vocabulary, counts, total), ids))
 
         def search(texts: list, before: list, rare=rare):
             block, ids = rare.value

@@ -118,6 +118,7 @@ def dedup_lines(records: DataFrame, min_chars: int = 20, min_records: int = 3, f
     held = materialize(named.select("event_id", "reason").mapInArrow(suspects, schema).distinct(), "line-suspects")
     shared = (held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("keeper"))
               .filter(F.col("n") >= min_records).drop("n"))
+    shared = materialize(shared, "shared-lines")  # a table of its own: a very common key is then split in the join below
     goes = (held.join(shared, ["k1", "k2"]).filter(F.col("event_id") != F.col("keeper"))
             .groupBy(F.col("event_id").alias("_of")).agg(F.collect_list(F.struct("k1", "k2")).alias("_keys")))
 

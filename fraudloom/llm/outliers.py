@@ -133,6 +133,7 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
     for _ in range(steps):
         far = _distance(passing, shape)
         cut = _bin_quantile(far, ["group"], level, core, bin_width, "cut")
+        cut = materialize(cut, "outlier-cut")
         shape = materialize(_shape(far.join(cut, "group").filter(F.floor(level / bin_width) <= F.col("cut"))), "outlier-step")
     middle = _bin_quantile(_distance(passing, shape), ["group"], level, 0.5, bin_width, "mid")
     scale = middle.select("group", F.greatest(F.exp((F.col("mid") + 0.5) * bin_width) / chi2_quantile(0.5, len(DIMS)), F.lit(1.0)).alias("scale"))

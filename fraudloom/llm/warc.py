@@ -190,7 +190,7 @@ def read_archive(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
 
     Columns: ``event_id``, ``uri`` (null if empty), ``record_type``, ``payload_digest`` and ``payload_bytes`` of the full payload (computed
     from a response's bytes, stated by a revisit), ``refers_to`` (null but for revisits), ``payload`` (null for revisits). Damaged members
-    and bytes between members are skipped. A file may hold any number of ranges; a range holds one record in memory at a time.
+    and bytes between members are skipped, and so is a member directly before such bytes, which cannot be told from one stored in another. A file may hold any number of ranges; a range holds one record in memory at a time.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))
     ranges = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start"))
