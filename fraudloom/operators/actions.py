@@ -71,9 +71,10 @@ def blocklist_state(changes: DataFrame) -> DataFrame:
 
 
 def linked_unblocks(unblocks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Device releases that follow a user's unblock: the devices blocked together with that user before it."""
-    return (unblocks.withColumnRenamed("ts_us", "unblock_us").join(blocks, "user_id").filter("block_us <= unblock_us")
-            .select(F.lit("device").alias("entity_type"), F.col("device_id").alias("entity_id"), F.col("unblock_us").alias("ts_us"),
+    """Device releases that follow a user's first unblock after a block: the devices blocked together with that user."""
+    first = (unblocks.withColumnRenamed("ts_us", "unblock_us").join(blocks, "user_id").filter("block_us <= unblock_us")
+             .groupBy("user_id", "device_id", "block_us").agg(F.min("unblock_us").alias("unblock_us")))
+    return (first.select(F.lit("device").alias("entity_type"), F.col("device_id").alias("entity_id"), F.col("unblock_us").alias("ts_us"),
                     F.lit(False).alias("active"), F.col("user_id").alias("linked_user")))
 
 

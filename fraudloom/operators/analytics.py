@@ -153,10 +153,9 @@ def combined_totals(table: DataFrame, min_risk: float = 0.0) -> DataFrame:
         three_digits(mean_risk()).alias("avg_risk"))
 
 
-def combined_timeline(table: DataFrame, min_risk: float = 0.0, last: int = 48) -> DataFrame:
-    out = table.filter(F.col("risk") >= min_risk).groupBy(bucket_start("ts_us", 300).alias("bucket_s")).agg(
+def combined_timeline(table: DataFrame, min_risk: float = 0.0) -> DataFrame:
+    return table.filter(F.col("risk") >= min_risk).groupBy(bucket_start("ts_us", 300).alias("bucket_s")).agg(
         rows_n().alias("n"), three_digits(F.max("risk")).alias("peak_risk"))
-    return out.orderBy(F.desc("bucket_s")).limit(last)
 
 
 def targeted_campaigns(table: DataFrame, limit: int = 40) -> DataFrame:
@@ -177,10 +176,12 @@ def clean_campaigns(table: DataFrame, limit: int = 40) -> DataFrame:
     return out.orderBy(F.desc("clicks"), "campaign_id").limit(limit)
 
 
-def targeted_waste(table: DataFrame, limit: int = 40) -> DataFrame:
-    campaigns, victims = targeted_campaigns(table, limit), targeted_victims(table, limit)
+def targeted_waste(table: DataFrame) -> DataFrame:
+    """Clicks of all campaigns with a critical click, and the number of all users at risk."""
+    campaigns = table.groupBy("campaign_id").agg(rows_n().alias("clicks"), criticals_n())
     wasted = campaigns.filter("criticals > 0").agg(F.coalesce(F.sum("clicks"), F.lit(0)).alias("wasted_clicks"))
-    return wasted.select("wasted_clicks", victims.agg(rows_n()).scalar().alias("at_risk_users"))
+    at_risk = table.filter("risk >= 0.4").agg(F.count_distinct("user_id")).scalar()
+    return wasted.select("wasted_clicks", at_risk.alias("at_risk_users"))
 
 
 def compare_runs(table: DataFrame, runs: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def compare_runs(table: DataFrame, runs: DataFrame) -> DataFrame:
                  F.count_distinct("user_id").alias("users")))
 
 
-def rolling_quality(table: DataFrame, bucket_s: int = 10, last: int = 360) -> DataFrame:
+def rolling_quality(table: DataFrame, bucket_s: int = 10) -> DataFrame:
     """Confusion counts per bucket with precision and recall of the bucket and up to it."""
     detected = F.col("action").isin("FLAG", "BLOCK", "REJECTED")
     fraud = F.col("label") == 1
@@ -202,9 +203,8 @@ def rolling_quality(table: DataFrame, bucket_s: int = 10, last: int = 360) -> Da
     run = running_totals(marks, ["all"], "bucket_s", ["tp", "fp", "fn", "tn"], F.floor(F.col("bucket_s") / 86400).cast("long"))
     share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
     out = run.select("bucket_s", *[F.col(f"{m}_step").alias(f"window_{m}") for m in ("tp", "fp", "fn", "tn")], "tp", "fp", "fn", "tn")
-    out = out.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"),
+    return out.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"),
                      share("window_tp", "window_fp").alias("window_precision"), share("window_tp", "window_fn").alias("window_recall"))
-    return out.orderBy(F.desc("bucket_s")).limit(last)
 
 
 def nearest_rank(table: DataFrame, value: str, share: float) -> DataFrame:

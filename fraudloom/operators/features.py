@@ -199,26 +199,6 @@ def vectorize(table: DataFrame, out: str = "vector") -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol=out).transform(table)
 
 
-def capped_distinct(clicks: DataFrame, key: str, value: str, scan: int = 400, horizon_s: int = 3600) -> DataFrame:
-    """Distinct values among the newest ``scan`` events of the horizon, the bounded variant of a distinct count.
-
-    The frame is at most ``scan`` rows, so memory per row is bounded by the parameter. An event within the frame of
-    the previous bucket is handed over with the bucket's tail, like in ``recent_times``.
-    """
-    rows = clicks.select("event_id", key, value, "ts_us").withColumn("_b", time_bucket("ts_us", horizon_s))
-    item = F.struct("ts_us", "event_id", F.col(value).alias("value"))
-    inside = Window.partitionBy(key, "_b").orderBy("ts_us", "event_id")
-    newest = Window.partitionBy(key, "_b").orderBy(F.desc("ts_us"), F.desc("event_id"))
-    tails = (rows.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") < scan)
-             .groupBy(key, (F.col("_b") + 1).alias("_b")).agg(F.sort_array(F.collect_list(item)).alias("_before")))
-    local = rows.withColumn("_items", F.collect_list(item).over(inside.rowsBetween(-(scan - 1), 0)))
-    joined = local.join(tails, [key, "_b"], "left")
-    both = F.concat(F.coalesce("_before", F.array().cast("array<struct<ts_us:bigint,event_id:string,value:string>>")), "_items")
-    tail = F.slice(both, F.greatest(F.size(both) - (scan - 1), F.lit(1)), scan)
-    live = F.filter(tail, lambda x: x["ts_us"] >= F.col("ts_us") - horizon_s * SECOND)
-    return joined.select("event_id", F.size(F.array_distinct(F.transform(live, lambda x: x["value"]))).cast("long").alias("n"))
-
-
 def click_history(clicks: DataFrame, key: str = "user_id", last: int = 30) -> DataFrame:
     """The ``last`` newest clicks of each key, ranked 1 (newest) upwards.
 

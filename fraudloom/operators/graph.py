@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fraudloom.config import SECOND, EngineConfig
 from fraudloom.functions.scalars import subnet24
 from fraudloom.operators.prefix import time_bucket
-from fraudloom.session import materialize
+from fraudloom.session import discard, materialize
 
 
 def click_edges(clicks: DataFrame, prefix: Column | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "node")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) where component is the smallest node name of the component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each round replaces edges by at most as many edges
@@ -47,19 +47,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links, mark = _cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
                        .filter("hi <> lo").distinct())
-    for _ in range(max_rounds):
+    while True:
         both = links.select(F.inline(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")),
                                              F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")))))
         large = _star(both).filter("other > node").select(F.col("other").alias("hi"), F.col("low").alias("lo"))
         down = large.filter("hi <> lo").distinct().select(F.col("hi").alias("node"), F.col("lo").alias("other"))
         small = _star(down).select(F.inline(F.array(F.struct(F.col("node").alias("hi"), F.col("low").alias("lo")),
                                                     F.struct(F.col("other").alias("hi"), F.col("low").alias("lo")))))
+        before = links
         links, now = _cut(small.filter("hi <> lo").distinct())
+        discard(before)
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
@@ -119,11 +119,10 @@ def with_graph_score(clicks: DataFrame, scores: DataFrame, config: EngineConfig
     return windowed.join(scores.drop("component"), ["window", "device_id"], "left").drop("window")
 
 
-def ego_subgraph(edges: DataFrame, components: DataFrame, start: str, limit: int = 120) -> tuple[DataFrame, DataFrame]:
-    """Nodes (at most ``limit``, by name) of the component of ``start`` and the edges among them."""
+def ego_subgraph(edges: DataFrame, components: DataFrame, start: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the component of ``start`` and the edges among them."""
     home = components.filter(F.col("node") == start).select("component")
     nodes = components.join(home, "component", "left_semi").select("node", node_type(F.col("node")).alias("type"))
-    nodes = nodes.orderBy("node").limit(limit)
     inside = (edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
               .join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"))
     return nodes, inside.select("src", "dst")
@@ -132,6 +131,8 @@ def ego_subgraph(edges: DataFrame, components: DataFrame, start: str, limit: int
 def reached_within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(origin, node, hop): nodes reached in 1..hops steps from each ``origin``, with the first hop that reached them.
 
+    The origins are the named entities of a question, so the result is as large as what they reach.
+
     Frontier expansion: every step joins only the newest frontier with the edges and drops what is already known.
     """
     around = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,53 +50,6 @@ def correlate(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return rows.join(named.select("event_id", F.coalesce("component", "src").alias("incident")), "event_id")
 
 
-# ---------------------------------------------------------------- ordered replay
-REPLAY = "event_id string, incident string"
-
-
-def replay(rows: DataFrame, config: EngineConfig) -> DataFrame:
-    """(event_id, incident) by ordered replay: a click joins the most recently active open incident that shares a key with
-    it, a campaign-only match counts for ``campaign_link_s``, incidents close after ``incident_idle_s`` without activity.
-
-    Events that never share a key, directly or through others, cannot meet; neither can events on both sides of a pause
-    longer than the idle time of their component. Each (component, active stretch) is replayed in time order as a stream
-    of Arrow batches that keeps only the open incidents in memory.
-    """
-    long = rows.select("event_id", F.explode("keys").alias("node"))
-    hub = long.groupBy("event_id").agg(F.min("node").alias("src"))
-    labels = connected_components(long.join(hub, "event_id").select("src", F.col("node").alias("dst")).distinct())
-    shards = hub.join(labels.withColumnRenamed("node", "src"), "src", "left").select("event_id", F.coalesce("component", "src").alias("shard"))
-    placed = with_island(rows.select("event_id", "ts_us", "keys").join(shards, "event_id"), ["shard"], "ts_us", config.incident_idle_s, "stretch")
-    ordered = placed.repartition("shard", "stretch").sortWithinPartitions("shard", "stretch", "ts_us", "event_id")
-    idle, weak = config.incident_idle_s * SECOND, config.campaign_link_s * SECOND
-    return ordered.mapInPandas(lambda batches: _replay(batches, idle, weak), REPLAY)
-
-
-def _replay(batches: Iterator[pd.DataFrame], idle_us: int, weak_us: int) -> Iterator[pd.DataFrame]:
-    here, open_incidents = None, {}  # incident -> [last activity, keys]
-    for pdf in batches:
-        names = []
-        for shard, stretch, ts, event, keys in zip(pdf["shard"], pdf["stretch"], pdf["ts_us"], pdf["event_id"], pdf["keys"]):
-            if (shard, stretch) != here:
-                here, open_incidents = (shard, stretch), {}
-            for name in [n for n, (last, _) in open_incidents.items() if ts - last > idle_us]:
-                del open_incidents[name]
-            mine, target = set(keys), None
-            for name, (last, known) in sorted(open_incidents.items(), key=lambda kv: -kv[1][0]):
-                shared = mine & known
-                only_campaign = all(k.startswith(CAMPAIGN) for k in shared)
-                if shared and not (only_campaign and ts - last > weak_us):
-                    target = name
-                    break
-            if target is None:
-                target = event
-                open_incidents[target] = [ts, set()]
-            open_incidents[target][0] = ts
-            open_incidents[target][1] |= mine
-            names.append(target)
-        yield pd.DataFrame({"event_id": pdf["event_id"], "incident": names})
-
-
 # ---------------------------------------------------------------- roll-ups
 def entity_rollup(assigned: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Per incident and entity: first and last activity, events, flagged events, peak risk, blocked events."""
@@ -175,8 +125,9 @@ def level_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("incident", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def newest_incidents(incidents: DataFrame, keep: int = 200) -> DataFrame:
-    return incidents.orderBy(F.desc("last_us"), "incident").limit(keep)
+def newest_incidents(incidents: DataFrame) -> DataFrame:
+    """All incidents, newest first; how many to list is up to the caller."""
+    return incidents.orderBy(F.desc("last_us"), "incident")
 
 
 def entity_preview(entities: DataFrame, n: int = 6) -> DataFrame:

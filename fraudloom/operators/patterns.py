@@ -87,13 +87,11 @@ def hit_counts(hits: DataFrame, since_us: int = 0) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("hits"), F.max("ts_us").alias("last_us")))
 
 
-def preview(decisions: DataFrame, pattern: DataFrame, per_level: int = 500, examples: int = 10) -> DataFrame:
-    """Dry run of a signature over the newest suspicious decisions: checked, matches and example events."""
-    order = [F.desc("ts_us"), F.desc("event_id")]
-    newest = lambda level: decisions.filter(F.col("level") == level).orderBy(*order).limit(per_level)
-    checked = match_signatures(newest("CRITICAL").unionByName(newest("HIGH")), pattern)
+def preview(decisions: DataFrame, pattern: DataFrame, examples: int = 10) -> DataFrame:
+    """Dry run of a signature over all suspicious decisions: checked, matches and the newest matching events."""
+    checked = match_signatures(decisions.filter(F.col("level").isin("CRITICAL", "HIGH")), pattern)
     hit = F.size("pattern_ids") > 0
-    # The sample holds at most 2 x per_level rows, which bounds this one list.
-    ids = F.sort_array(F.collect_list(F.when(hit, F.struct("ts_us", "event_id"))), asc=False)
-    return checked.agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(hit, 1)).alias("matches"),
-                       F.array_join(F.transform(F.slice(ids, 1, examples), lambda e: e["event_id"]), ",").alias("examples"))
+    newest = checked.filter(hit).orderBy(F.desc("ts_us"), F.desc("event_id")).limit(examples)
+    ids = F.sort_array(F.collect_list(F.struct("ts_us", "event_id")), asc=False)  # of at most ``examples`` rows
+    return checked.agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(hit, 1)).alias("matches")).select(
+        "*", newest.agg(F.array_join(F.transform(ids, lambda e: e["event_id"]), ",")).scalar().alias("examples"))

@@ -77,7 +77,7 @@ def factor_lines(factors: Column, limit: int = 3) -> Column:
 def rule_factors(rules: Column) -> Column:
     """Factors when no model is available: the fired rules themselves."""
     label = lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                               F.regexp_replace(F.substring(r, 2, 64), "_", " "))
+                               F.regexp_replace(F.substr(r, F.lit(2)), "_", " "))
     none = F.lit(None).cast("double")
     return F.transform(rules, lambda r: F.struct(r.alias("feature"), label(r).alias("label"), none.alias("value"),
                                                  none.alias("typical"), none.alias("contribution")))
@@ -105,7 +105,7 @@ def fallback_sentence() -> Column:
 
 
 def capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 4000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
 def explain(table: DataFrame, config: EngineConfig | None = None) -> DataFrame:

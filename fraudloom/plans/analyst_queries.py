@@ -134,7 +134,7 @@ def combined_totals(spark, folder):
     return Q.combined_totals(T.decisions(spark, folder), 0.3)
 
 
-@query("q21_combined_timeline", sql(f"select ts_us // 300000000 * 300 as bucket_s, count(*) as n, {THREE_MAX} as peak_risk from decisions where risk >= 0.3 group by 1 order by 1 desc limit 48", "decisions"))
+@query("q21_combined_timeline", sql(f"select ts_us // 300000000 * 300 as bucket_s, count(*) as n, {THREE_MAX} as peak_risk from decisions where risk >= 0.3 group by 1", "decisions"))
 def combined_timeline(spark, folder):
     return Q.combined_timeline(T.decisions(spark, folder), 0.3)
 
@@ -161,7 +161,8 @@ def clean_campaigns(spark, folder):
     return Q.clean_campaigns(T.decisions(spark, folder))
 
 
-@query("q25_targeted_waste", sql("select coalesce(sum(clicks), 0)::bigint as wasted_clicks, (select count(*) from tvict) as at_risk_users from tcamp where criticals > 0", "decisions", TARGETED))
+@query("q25_targeted_waste", sql(f"""select coalesce(sum(clicks), 0)::bigint as wasted_clicks, (select count(distinct user_id) from decisions where risk >= 0.4) as at_risk_users
+from (select count(*) as clicks, {CRIT} as criticals from decisions group by campaign_id) where criticals > 0""", "decisions"))
 def targeted_waste(spark, folder):
     return Q.targeted_waste(T.decisions(spark, folder))
 
@@ -180,7 +181,7 @@ from (select bucket_s, window_tp, window_fp, window_fn, window_tn, (sum(window_t
     (sum(window_fn) over w)::bigint as fn, (sum(window_tn) over w)::bigint as tn
   from (select ts_us // 10000000 * 10 as bucket_s, count(*) filter (det and label = 1) as window_tp, count(*) filter (det and label = 0) as window_fp,
       count(*) filter (not det and label = 1) as window_fn, count(*) filter (not det and label = 0) as window_tn
-    from (select *, action in ('FLAG', 'BLOCK', 'REJECTED') as det from enforced) group by 1) window w as (order by bucket_s)) order by bucket_s desc limit 360""", "enforced"))
+    from (select *, action in ('FLAG', 'BLOCK', 'REJECTED') as det from enforced) group by 1) window w as (order by bucket_s))""", "enforced"))
 def rolling_quality(spark, folder):
     out = Q.rolling_quality(T.enforced(spark, folder))
     rates = ["precision", "recall", "window_precision", "window_recall"]
@@ -276,18 +277,23 @@ def user_alerts(spark, folder):
     return _alerts(spark, folder).select("user_id", "ts_us", "event_id", "campaign_id", "severity", "risk", "reason_title", "status")
 
 
-CHANGES = BLOCKS + """,
+LINKED = BLOCKS + """,
+linked as (select b.device_id, b.user_id, min(c.ts_us) as ts_us from blocks b
+  join clicks c on c.user_id = b.user_id and c.event_type = 'purchase' and b.block_us <= c.ts_us group by b.device_id, b.user_id, b.block_us)"""
+
+CHANGES = LINKED + """,
 changes as (select 'user' as entity_type, user_id as entity_id, block_us as ts_us, true as active from blocks
   union all select 'device', device_id, block_us, true from blocks
-  union all select 'user', user_id, ts_us, false from clicks where event_type = 'purchase'),
+  union all select 'user', user_id, ts_us, false from clicks where event_type = 'purchase'
+  union all select 'device', device_id, ts_us, false from linked),
 state as (select entity_type, entity_id, arg_max(active, (ts_us, not active)) as active, max(ts_us) as changed_us from changes group by 1, 2)"""
 
 
 def _changes(spark, folder):
-    """Auto-blocks, and an unblock of the user at each of its purchases."""
+    """Auto-blocks, an unblock of the user at each of its purchases, and the devices that the first of these releases."""
     bought = T.clicks(spark, folder).filter("event_type = 'purchase'")
     releases = bought.select(F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id"), "ts_us", F.lit(False).alias("active"))
-    return A.block_events(_blocks(spark, folder)).drop("linked_user").unionByName(releases)
+    return A.block_events(_blocks(spark, folder)).drop("linked_user").unionByName(releases).unionByName(linked_unblocks(spark, folder).drop("linked_user"))
 
 
 @query("a4_blocklist_state", sql("select * from state", "decisions", CHANGES))
@@ -295,8 +301,7 @@ def blocklist_state(spark, folder):
     return A.blocklist_state(_changes(spark, folder))
 
 
-@query("a5_linked_unblocks", sql("""select 'device' as entity_type, b.device_id as entity_id, c.ts_us, false as active, b.user_id as linked_user
-from blocks b join clicks c on c.user_id = b.user_id and c.event_type = 'purchase' and b.block_us <= c.ts_us""", "decisions", BLOCKS))
+@query("a5_linked_unblocks", sql("select 'device' as entity_type, device_id as entity_id, ts_us, false as active, user_id as linked_user from linked", "decisions", LINKED))
 def linked_unblocks(spark, folder):
     unblocks = T.clicks(spark, folder).filter("event_type = 'purchase'").select("user_id", "ts_us")
     return A.linked_unblocks(unblocks, _blocks(spark, folder))
@@ -383,11 +388,6 @@ def incident_keys(spark, folder):
     return _keyed(spark, folder).select("event_id", F.explode("keys").alias("key"))
 
 
-@query("i2_ordered_replay")
-def ordered_replay(spark, folder):
-    return I.replay(_keyed(spark, folder), T.CONFIG)
-
-
 @query("i2b_correlation", sql("select event_id, incident from assigned", "decisions", INCIDENTS))
 def correlation(spark, folder):
     return _assigned(spark, folder).select("event_id", "incident")
@@ -443,9 +443,9 @@ def incident_detail(spark, folder):
     return levels.unionByName(I.top_parts(rows))
 
 
-@query("i9_newest", sql("select incident, last_us from icount order by last_us desc, incident limit 200", "decisions", INCIDENTS))
+@query("i9_newest", sql("select incident, last_us from icount", "decisions", INCIDENTS))
 def newest_incidents(spark, folder):
-    return I.newest_incidents(_incidents(spark, folder), 200).select("incident", "last_us")
+    return I.newest_incidents(_incidents(spark, folder)).select("incident", "last_us")
 
 
 @query("i10_entity_preview", sql("""select incident, array_to_string(list(name order by r), ',') as entities from (select incident, entity_type || ':' || entity_id as name,

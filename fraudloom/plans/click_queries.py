@@ -147,7 +147,7 @@ def scenario_import(spark, folder):
         "ip_address", "user_agent", (F.col("ts_us") / F.lit(1e6)).alias("ts"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("label"), F.lit("spoofed").alias("source"))
     C.export_scenario(rows, path)
-    return C.import_scenario(spark, path, max_events=None)
+    return C.import_scenario(spark, path)
 
 
 @query("s13_cached_frame", sql("""select count(*) as rows_n, sum(clicks_1h)::bigint as clicks_1h, sum(unique_users_per_ip)::bigint as users_per_ip,
@@ -297,13 +297,6 @@ for _name, _columns in FEATURE_GROUPS.items():
     _feature_query(_name, _columns)
 
 
-@query("f13_capped_distinct", sql("""select event_id, len(list_distinct([x.d for x in w if x.t >= ts_us - 3600000000])) as n
-from (select event_id, ts_us, list({'t': ts_us, 'd': device_id}) over (partition by ip_address order by ts_us, event_id
-  rows between 19 preceding and current row) as w from clicks)"""))
-def capped_distinct(spark, folder):
-    return FE.capped_distinct(T.clicks(spark, folder), "ip_address", "device_id", scan=20)
-
-
 @query("f14_vector", sql(f"select event_id, round({' + '.join(FEATURES)}, 4) as total from feat", "feat"))
 def feature_vector(spark, folder):
     from pyspark.ml.functions import vector_to_array

@@ -191,19 +191,19 @@ def snapshot_score(spark, folder):
 
 
 @query("g7_ego_subgraph", sql("""select src, dst from ge where src in (select node from ego) and dst in (select node from ego)""", "clicks", REACH + """,
-ego as (select node from gc where component = (select component from gc where node = 'U:U1') order by node limit 120)"""))
+ego as (select node from gc where component = (select component from gc where node = 'U:U1') )"""))
 def ego(spark, folder):
     table = G.click_edges(T.clicks(spark, folder))
-    return G.ego_subgraph(table, _components(spark, folder), "U:U1", 120)[1]
+    return G.ego_subgraph(table, _components(spark, folder), "U:U1")[1]
 
 
 @query("g8_reached_within", sql("select origin, node, min(hop)::int as hop from hops where node <> origin group by 1, 2", "clicks", EDGES + """,
 gk as (select src, dst from ge where src not like 'I:%' union select dst, src from ge where src not like 'I:%'),
-hops(origin, node, hop) as (select distinct src, src, 0 from gk where src in (select 'U:' || user_id from clicks where event_type = 'purchase')
+hops(origin, node, hop) as (select distinct src, src, 0 from gk where src in (select 'U:' || user_id from clicks where user_id = 'U1')
   union select h.origin, k.dst, h.hop + 1 from hops h join gk k on h.node = k.src where h.hop < 2)"""))
 def reached_within(spark, folder):
     rows = T.clicks(spark, folder)
-    start = rows.filter("event_type = 'purchase'").select(F.concat(F.lit("U:"), "user_id").alias("origin")).distinct()
+    start = rows.filter("user_id = 'U1'").select(F.concat(F.lit("U:"), "user_id").alias("origin")).distinct()
     used_from = G.click_edges(rows).filter("src not like 'I:%'")
     return G.reached_within(used_from, start, 2)
 
@@ -247,9 +247,7 @@ def signature_match(spark, folder):
 
 @query("n5_signature_preview", sql("""select count(*) as checked, count(*) filter (hit) as matches,
   array_to_string(list_slice(list(event_id order by ts_us desc, event_id desc) filter (hit), 1, 10), ',') as examples
-from (select *, list_contains(names, 'fast clicker') as hit from (
-  (select * from matched where level = 'CRITICAL' order by ts_us desc, event_id desc limit 500)
-  union all (select * from matched where level = 'HIGH' order by ts_us desc, event_id desc limit 500)))""", "decisions", MATCHED))
+from (select *, list_contains(names, 'fast clicker') as hit from matched where level in ('CRITICAL', 'HIGH'))""", "decisions", MATCHED))
 def signature_preview(spark, folder):
     return P.preview(T.decisions(spark, folder), signatures(spark).filter("pattern_id = 1"))
 

@@ -137,9 +137,9 @@ def baseline(spark, folder):
 
 QUANT = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
 DRIFT = f"""
-base as (select min(ts_us) as t0 from feat),
-ref as (select * from feat where ts_us >= (select t0 from base) + 600000000 order by ts_us, event_id limit 1500),
-live as (select * from feat order by ts_us desc, event_id desc limit 1500),
+base as (select min(ts_us) as t0, max(ts_us) as t1 from feat),
+ref as (select * from feat where ts_us >= (select t0 from base) + 600000000 and ts_us < (select t0 from base) + 1500000000),
+live as (select * from feat where ts_us > (select t1 from base) - 900000000),
 fl as ({FLONG}),
 edges as (select feature, list_sort(list_distinct([{QUANT}])) as edges from fl group by 1),
 rl as ({FLONG.replace(' from feat', ' from ref')}), ll as ({FLONG.replace(' from feat', ' from live')}),
@@ -181,9 +181,9 @@ def training_skew(spark, folder):
 
 
 SCORE_BINS = STAND_INS + """,
-base as (select min(ts_us) as t0 from fusedx),
-rs as (select * from fusedx where ts_us >= (select t0 from base) + 600000000 order by ts_us, event_id limit 1500),
-ls as (select * from fusedx order by ts_us desc, event_id desc limit 1500),
+base as (select min(ts_us) as t0, max(ts_us) as t1 from fusedx),
+rs as (select * from fusedx where ts_us >= (select t0 from base) + 600000000 and ts_us < (select t0 from base) + 1500000000),
+ls as (select * from fusedx where ts_us > (select t1 from base) - 900000000),
 rsb as (select 'score_ml' as feature, least(floor(score_ml * 10), 9)::int as bin, count(*) as n from rs where score_ml is not null group by 2),
 lsb as (select 'score_ml' as feature, least(floor(score_ml * 10), 9)::int as bin, count(*) as n from ls where score_ml is not null group by 2)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fraudloom.plans import tables as T
 from fraudloom.plans.oracle import FLAGGED, sql
 from fraudloom.plans.registry import query, r6, r6_sql
-from fraudloom.session import shared_folder
+from fraudloom.session import shared_folder, source_state
 from fraudloom.sources.clicks import feature_messages
 from fraudloom.streaming import scoring as S
 from fraudloom.streaming import stateful as W
@@ -23,9 +23,9 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/fraudloom/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark, name, table, parts=3):
+def _stream(spark, name, folder, table, parts=3):
     """File stream of a table, one time slice after the other."""
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, source_state(spark, folder))
     if key not in _SOURCES:
         path = _folder(spark, name)
         cuts = table.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)
@@ -40,15 +40,40 @@ def _stream(spark, name, table, parts=3):
 
 
 def _clicks(spark, folder):
-    return _stream(spark, f"clicks-{folder.rsplit('/', 1)[-1]}", T.clicks(spark, folder))
+    return _stream(spark, "clicks", folder, T.clicks(spark, folder))
+
+
+def _features(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", W.ROCKSDB)
+    return W.stream_user_features(_clicks(spark, folder))
 
 
 @query("t1_stateful_features", sql(f"select event_id, user_id, ts_us, {', '.join(COUNTS)}, {r6_sql(*TIMING)} from feat", "feat"))
 def stateful_features(spark, folder):
-    out = W.run_to_table(W.stream_user_features(_clicks(spark, folder)), _folder(spark, "t1"))
+    out = W.run_to_table(_features(spark, folder), _folder(spark, "t1"))
     return out.select("event_id", "user_id", "ts_us", *COUNTS, *[r6(c) for c in TIMING])
 
 
+@query("t2_watermark_counts", sql("""select ts_us // 300000000 * 300 as bucket_s, user_id, count(*) as clicks from clicks
+where ts_us // 300000000 * 300000000 + 300000000 + 600000000 <= (select max(ts_us) from clicks) // 1000 * 1000 group by 1, 2"""))
+def watermark_counts(spark, folder):
+    """Counts of the windows that the watermark, ten minutes behind, has closed."""
+    rows = W.with_watermark(_clicks(spark, folder), "10 minutes")
+    out = rows.groupBy(F.window("event_time", "300 seconds").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("clicks"))
+    return W.run_to_table(out.select(F.unix_seconds("w.start").alias("bucket_s"), "user_id", "clicks"), _folder(spark, "t2"))
+
+
+@query("t3_late_clicks", sql("""select event_id, ts_us from clicks where event_type = 'error'
+and ts_us < (select max(ts_us) from clicks where event_type <> 'error') - 600000000"""))
+def late_clicks(spark, folder):
+    """Error clicks delivered after all others: those over ten minutes behind the newest click go to the side table."""
+    path, rows = _folder(spark, "t3-source"), T.clicks(spark, folder)
+    for part in (rows.filter("event_type <> 'error'"), rows.filter("event_type = 'error'")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return W.late_clicks(stream, _folder(spark, "t3"), 600).select("event_id", "ts_us")
+
+
 @query("t4_stream_deduplicate", sql("select event_id, user_id, ts_us from clicks"))
 def stream_deduplicate(spark, folder):
     rows = _clicks(spark, folder)
@@ -84,7 +109,7 @@ def stream_sliding(spark, folder):
 @query("t8_stream_tumbling", sql(f"select ts_us // 60000000 * 60 as bucket_s, campaign_id, count(*) as n, {FLAGGED} as flagged from decisions group by 1, 2", "decisions"))
 def stream_tumbling(spark, folder):
     rows = T.decisions(spark, folder).select("event_id", "ts_us", "campaign_id", "action")
-    stream = _stream(spark, f"decisions-{folder.rsplit('/', 1)[-1]}", rows)
+    stream = _stream(spark, "decisions", folder, rows)
     return W.run_to_table(W.stream_tumbling(stream), _folder(spark, "t8"), "complete")
 
 
@@ -106,6 +131,6 @@ def replay_from_start(spark, folder):
 
 @query("s6_stream_messages", sql("select user_id as key, event_id, clicks_1h from feat", "feat"))
 def stream_messages(spark, folder):
-    out = W.run_to_table(feature_messages(W.stream_user_features(_clicks(spark, folder))), _folder(spark, "s6"))
+    out = W.run_to_table(feature_messages(_features(spark, folder)), _folder(spark, "s6"))
     return out.select("key", F.get_json_object("value", "$.event_id").alias("event_id"),
                       F.get_json_object("value", "$.clicks_1h").cast("double").alias("clicks_1h"))

@@ -21,19 +21,19 @@ CONFIG = EngineConfig()
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
     """Deduplicated click log."""
-    return staged(spark, "clicks", (folder,), lambda: deduplicate(load_clicks(spark, folder)))
+    return staged(spark, "clicks", (folder, CONFIG), lambda: deduplicate(load_clicks(spark, folder)))
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    return staged(spark, "features", (folder,), lambda: compute_features(clicks(spark, folder), CONFIG))
+    return staged(spark, "features", (folder, CONFIG), lambda: compute_features(clicks(spark, folder), CONFIG))
 
 
 def graph_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return staged(spark, "graph", (folder,), lambda: snapshot_scores(clicks(spark, folder), CONFIG))
+    return staged(spark, "graph", (folder, CONFIG), lambda: snapshot_scores(clicks(spark, folder), CONFIG))
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return staged(spark, "nodes", (folder,), lambda: snapshot_components(clicks(spark, folder), CONFIG))
+    return staged(spark, "nodes", (folder, CONFIG), lambda: snapshot_components(clicks(spark, folder), CONFIG))
 
 
 def score(table: DataFrame, graph: DataFrame | None, config: EngineConfig = CONFIG) -> DataFrame:
@@ -59,7 +59,7 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         clicks(spark, folder)
         return score(*together(lambda: features(spark, folder), lambda: graph_scores(spark, folder)))
-    return staged(spark, "decisions", (folder,), build)
+    return staged(spark, "decisions", (folder, CONFIG), build)
 
 
 def blocklist(spark: SparkSession) -> DataFrame:

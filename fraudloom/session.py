@@ -38,18 +38,41 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more; other tables are left alone."""
+    spark, home = df.sparkSession, f"{shared_folder(df.sparkSession)}/fraudloom/"
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if home.removeprefix("file://") in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def together(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent builders at the same time, so that one's short stages fill the gaps of the other's."""
     with ThreadPoolExecutor(len(builders)) as pool:
         return list(pool.map(lambda build: build(), builders))
 
 
+def source_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's entries and of the files in its table folders."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(conf)
+    if not store.exists(path):
+        return ()
+    entries = list(store.listStatus(path))
+    inner = [x for e in entries if e.isDirectory() for x in store.listStatus(e.getPath())]
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in entries + inner))
+
+
 def staged(spark: SparkSession, name: str, inputs: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build a table once per application and input set, then reuse its files.
+    """Build a table once per application, input set and state of the source folders, then reuse its files.
 
-    The path holds a hash of the inputs, so a changed source or config makes a new table.
+    ``inputs`` are source folders (text) and configurations. The key holds the names, sizes and times of a folder's files, so a
+    rewritten source or another configuration makes a new table.
     """
-    key = (spark.sparkContext.applicationId, name, inputs)
+    key = (spark.sparkContext.applicationId, name, tuple(repr(x) for x in inputs), tuple(source_state(spark, x) for x in inputs if isinstance(x, str)))
     if key not in _STAGED:
         digest = hashlib.sha256(repr(key).encode()).hexdigest()[:16]
         path = f"{shared_folder(spark)}/fraudloom/{name}-{digest}-{uuid.uuid4().hex[:8]}"

@@ -11,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     session = (SparkSession.builder.master("local[*]").appName("tests").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-               .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+               .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

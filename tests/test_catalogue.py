@@ -19,6 +19,6 @@ def test_query_matches_sql(spark, con, name):
     assert out.startswith("ok") and "types" not in out, out
 
 
-@pytest.mark.parametrize("name", ["i2_ordered_replay", "m6_isolation_forest"])
+@pytest.mark.parametrize("name", ["m6_isolation_forest"])
 def test_queries_without_sql_give_rows(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0

@@ -88,12 +88,6 @@ def test_input_order_does_not_matter(clicks_of):
     assert a == b
 
 
-def test_capped_distinct_scans_only_the_newest(clicks_of):
-    rows = [{"ts": 1000 + i, "device_id": f"D{i}"} for i in range(10)]
-    out = rows_of(FE.capped_distinct(clicks_of(rows), "ip_address", "device_id", scan=4))
-    assert out["e00009"]["n"] == 4 and out["e00002"]["n"] == 3
-
-
 def test_active_users_and_history(clicks_of, spark):
     rows = clicks_of([{"ts": 1000, "user_id": "A"}, {"ts": 1050, "user_id": "B"}, {"ts": 1070, "user_id": "B"}])
     assert FE.active_users(rows, F.lit(1_075_000_000), 60).first()["active_users"] == 1

@@ -1,6 +1,5 @@
 """Correlation cases, and the ordered replay against a plain loop."""
 
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,33 +35,9 @@ CASES = {
 def test_merge_cases(spark, case):
     rows, want = CASES[case]
     keyed = I.incident_keys(spark.createDataFrame(rows, SCHEMA), graph_key=None)
-    assert I.replay(keyed, CONFIG).select("incident").distinct().count() == want
     assert I.correlate(keyed, CONFIG).select("incident").distinct().count() == want
 
 
-def test_replay_matches_a_plain_loop(spark):
-    rng = random.Random(5)
-    rows = []
-    for i in range(150):
-        rows += burst(f"e{i:03d}", f"U{rng.randrange(12)}", f"D{rng.randrange(12)}", f"{rng.randrange(1, 9)}.{rng.randrange(9)}.1.1", rng.randrange(0, 6000),
-                      f"C{rng.randrange(3)}", rng.choice([None, "bot"]), n=1)
-    keyed = I.incident_keys(spark.createDataFrame(rows, SCHEMA), graph_key=None)
-    live, want = {}, {}
-    for r in sorted(keyed.select("event_id", "ts_us", "keys").collect(), key=lambda r: (r["ts_us"], r["event_id"])):
-        ts, keys = r["ts_us"], set(r["keys"])
-        live = {n: v for n, v in live.items() if ts - v[0] <= 300 * SECOND}
-        target = r["event_id"]
-        for name, (last, known) in sorted(live.items(), key=lambda kv: -kv[1][0]):
-            hit = keys & known
-            if hit and not (all(k.startswith("campaign_attack:") for k in hit) and ts - last > 120 * SECOND):
-                target = name
-                break
-        live[target] = (ts, live.get(target, (0, set()))[1] | keys)
-        want[r["event_id"]] = target
-    got = {r["event_id"]: r["incident"] for r in I.replay(keyed, CONFIG).collect()}
-    assert got == want
-
-
 def test_rollup_and_status(spark):
     rows = spark.createDataFrame([("i", 100 * SECOND, 0.8, "U1", "D1", "10.0.x.x", "C2"), ("i", 160 * SECOND, 0.95, "U1", "D1", "10.0.x.x", "C1")],
                                  "incident string, ts_us bigint, risk double, user_id string, device_id string, ip_mask string, campaign_id string")

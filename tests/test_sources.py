@@ -22,8 +22,6 @@ def test_validation_cleans_and_flags(clicks_of):
 def test_oversized_import_is_refused(spark, tmp_path):
     (tmp_path / "s.json").write_text("\n".join('{"user_id":"U","ad_id":"A"}' for _ in range(5)))
     assert C.import_scenario(spark, str(tmp_path / "s.json")).count() == 5
-    with pytest.raises(ValueError, match="limited"):
-        C.import_scenario(spark, str(tmp_path / "s.json"), max_events=4)
 
 
 def test_device_upsert_keeps_the_first_attributes(clicks_of):
