@@ -17,6 +17,8 @@ from fraudloom.streaming import stateful as W
 TIMING = ["avg_interval", "min_interval", "interval_std", "interval_cv", "timing_entropy", "burst_score"]
 COUNTS = ["clicks_10s", "clicks_1m", "clicks_5m", "clicks_1h"]
 _SOURCES: dict[tuple, str] = {}
+#: The watermark after the last batch, ten minutes behind the newest click; it counts in milliseconds.
+CLOSED = "(select max(ts_us) // 1000 * 1000 - 600000000 from clicks)"
 
 
 def _folder(spark, name):
@@ -101,23 +103,25 @@ def fan_out(spark, folder):
     return rows
 
 
-@query("t7_stream_sliding", sql("""select start_s, user_id, count(*) as clicks from (select user_id, unnest([ts_us // 10000000 * 10 - 10 * i for i in range(0, 6)]) as start_s from clicks) group by 1, 2"""))
+@query("t7_stream_sliding", sql("""select start_s, user_id, count(*) as clicks from (select user_id, unnest([ts_us // 10000000 * 10 - 10 * i for i in range(0, 6)]) as start_s from clicks)
+where (start_s + 60) * 1000000 <= """ + CLOSED + """ group by 1, 2"""))
 def stream_sliding(spark, folder):
-    return W.run_to_table(W.stream_sliding(_clicks(spark, folder)), _folder(spark, "t7"), "complete")
+    return W.run_to_table(W.stream_sliding(_clicks(spark, folder), delay="10 minutes"), _folder(spark, "t7"))
 
 
-@query("t8_stream_tumbling", sql(f"select ts_us // 60000000 * 60 as bucket_s, campaign_id, count(*) as n, {FLAGGED} as flagged from decisions group by 1, 2", "decisions"))
+@query("t8_stream_tumbling", sql(f"select ts_us // 60000000 * 60 as bucket_s, campaign_id, count(*) as n, {FLAGGED} as flagged from decisions where (ts_us // 60000000 * 60 + 60) * 1000000 <= {CLOSED} group by 1, 2", "decisions"))
 def stream_tumbling(spark, folder):
     rows = T.decisions(spark, folder).select("event_id", "ts_us", "campaign_id", "action")
     stream = _stream(spark, "decisions", folder, rows)
-    return W.run_to_table(W.stream_tumbling(stream), _folder(spark, "t8"), "complete")
+    return W.run_to_table(W.stream_tumbling(stream, delay="10 minutes"), _folder(spark, "t8"))
 
 
 @query("t9_stream_sessions", sql("""select user_id, min(ts_us) as start_us, max(ts_us) as last_us, count(*) as clicks from (
   select user_id, ts_us, sum(fresh) over (partition by user_id order by ts_us, event_id) as s from (select *,
-    case when ts_us - lag(ts_us) over (partition by user_id order by ts_us, event_id) < 300000000 then 0 else 1 end as fresh from clicks)) group by user_id, s"""))
+    case when ts_us - lag(ts_us) over (partition by user_id order by ts_us, event_id) < 300000000 then 0 else 1 end as fresh from clicks))
+group by user_id, s having max(ts_us) + 300000000 <= """ + CLOSED))
 def stream_sessions(spark, folder):
-    return W.run_to_table(W.stream_sessions(_clicks(spark, folder)), _folder(spark, "t9"), "complete")
+    return W.run_to_table(W.stream_sessions(_clicks(spark, folder), delay="10 minutes"), _folder(spark, "t9"))
 
 
 @query("t10_replay_from_start", sql("select 1::int as run, count(*) as n, max(ts_us) as last_us from clicks union all select 2, count(*), max(ts_us) from clicks"))
