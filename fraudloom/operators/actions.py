@@ -64,6 +64,12 @@ def alert_rows(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
                          F.when(F.col("d.event_type") == "signup", "resolved").otherwise("open").alias("status"))
 
 
+def with_incident(alerts: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Alerts with the ``incident_id`` their click belongs to; an event is in one incident, so no alert is multiplied."""
+    home = assigned.select("event_id", F.col("incident").alias("incident_id"))
+    return alerts.join(home, "event_id", "left")
+
+
 def blocklist_state(changes: DataFrame) -> DataFrame:
     """Current blocklist: the latest change of each entity wins; at one instant an unblock wins."""
     return (changes.groupBy("entity_type", "entity_id")

@@ -60,8 +60,8 @@ def newest(table: DataFrame, limit: int = 100) -> DataFrame:
     return table.orderBy(F.desc("ts_us"), F.desc("event_id")).limit(limit)
 
 
-def search_everything(table: DataFrame, q: str, limit: int = 20) -> DataFrame:
-    """Matches among users, campaigns, ads and devices as one long table."""
+def search_everything(table: DataFrame, q: str, limit: int = 20, incidents: DataFrame | None = None, alerts: DataFrame | None = None) -> DataFrame:
+    """Matches among users, campaigns, ads, devices and, where given, incidents and alerts as one long table."""
     users = F.count_distinct("user_id").cast("string")
     none = F.lit(None).cast("string")
     parts = []
@@ -70,6 +70,14 @@ def search_everything(table: DataFrame, q: str, limit: int = 20) -> DataFrame:
         hits = table.filter(F.col(column).contains(q)).groupBy(F.col(column).alias("id")).agg(
             rows_n().alias("n"), F.max("ts_us").alias("last_us"), detail.alias("detail"))
         parts.append(hits.orderBy(F.desc("n"), "id").limit(limit).select(F.lit(kind).alias("kind"), "id", "n", "last_us", "detail"))
+    if incidents is not None:
+        hits = incidents.filter(F.col("incident").contains(q)).select(F.lit("incident").alias("kind"), F.col("incident").alias("id"),
+                                                                      F.col("entity_events_n").cast("long").alias("n"), "last_us", none.alias("detail"))
+        parts.append(hits.orderBy(F.desc("last_us"), "id").limit(limit))
+    if alerts is not None:
+        hits = alerts.filter(F.col("title").contains(q)).select(F.lit("alert").alias("kind"), F.col("event_id").alias("id"),
+                                                                F.lit(1).cast("long").alias("n"), F.col("ts_us").alias("last_us"), F.col("severity").alias("detail"))
+        parts.append(hits.orderBy(F.desc("last_us"), "id").limit(limit))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

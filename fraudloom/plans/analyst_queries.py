@@ -14,6 +14,7 @@ from fraudloom.operators.graph import node_type
 from fraudloom.functions.scalars import flagged_sum, mask_ip
 from fraudloom.operators.prefix import islands, time_bucket
 from fraudloom.plans import tables as T
+from fraudloom.plans.click_queries import SEARCH
 from fraudloom.plans.detection_queries import INVESTIGATED, LATEST_COLUMNS
 from fraudloom.plans.oracle import FLAGGED, sql
 from fraudloom.plans.registry import joined, query, r6, r6_of
@@ -470,6 +471,20 @@ def combined_kinds(spark, folder):
     return Q.combined_kinds(rows, live, _alerts(spark, folder), A.blocklist_state(_changes(spark, folder)), 0.3)
 
 
+@query("a9_alert_incidents", sql("select a.user_id, a.ts_us, a.event_id, s.incident as incident_id from alerts a left join assigned s on s.event_id = a.event_id", "decisions",
+                                 INCIDENTS.strip() + ",\n" + ALERTS.strip()))
+def alert_incidents(spark, folder):
+    return A.with_incident(_alerts(spark, folder), _assigned(spark, folder)).select("user_id", "ts_us", "event_id", "incident_id")
+
+
+@query("p11_search_all", sql(SEARCH + """
+union all select * from (select 'incident', incident as id, entity_events_n::bigint, last_us, null from icount where contains(incident, '1') order by last_us desc, id limit 20)
+union all select * from (select 'alert', event_id as id, 1::bigint, ts_us, severity from alerts where contains('Suspicious activity: ' || user_id, '1') order by ts_us desc, id limit 20)""",
+                             "decisions", INCIDENTS.strip() + ",\n" + ALERTS.strip()))
+def search_all(spark, folder):
+    return Q.search_everything(T.decisions(spark, folder), "1", 20, _incidents(spark, folder), _alerts(spark, folder))
+
+
 @query("q30_open_work", sql("""select 'alert' as kind, user_id as id, ts_us from alerts where ts_us >= (select max(ts_us) from decisions) - 1200000000 or status = 'open'
 union all select 'incident', incident, last_us from (select incident, last_us, (select max(ts_us) from decisions) as e from icount)
   where last_us >= e - 1200000000 or (e - last_us) / 1e6 <= 300""", "decisions", INCIDENTS.strip() + ",\n" + ALERTS.strip()))

@@ -226,13 +226,16 @@ def min_risk(spark, folder):
     return newest(filter_events(T.decisions(spark, folder), min_risk=0.5), 100).select("event_id", "ts_us", "user_id", "risk", "level")
 
 
-@query("p11_search", sql("""
+SEARCH = """
 select * from (select 'user' as kind, user_id as id, count(*) as n, max(ts_us) as last_us, max(country) as detail from decisions
   where contains(user_id, '1') group by 2 order by n desc, id limit 20)
 union all select * from (select 'campaign', campaign_id as id, count(*) as n, max(ts_us), null from decisions where contains(campaign_id, '1') group by 2 order by n desc, id limit 20)
 union all select * from (select 'ad', ad_id as id, count(*) as n, max(ts_us), null from decisions where contains(ad_id, '1') group by 2 order by n desc, id limit 20)
 union all select * from (select 'device', device_id as id, count(*) as n, max(ts_us), count(distinct user_id)::varchar from decisions
-  where contains(device_id, '1') group by 2 order by n desc, id limit 20)""", "decisions"))
+  where contains(device_id, '1') group by 2 order by n desc, id limit 20)"""
+
+
+@query("p11_search", sql(SEARCH, "decisions"))
 def search(spark, folder):
     return search_everything(T.decisions(spark, folder), "1", 20)
 
