@@ -88,9 +88,8 @@ FACTOR_TEXT = {
     "clicks_1h": "clicks in the last hour", "min_interval": "shortest gap between clicks (s)",
     "repeat_ad_ratio": "share of clicks on the same ad", "unique_users_per_device": "accounts sharing this device",
     "unique_devices_per_ip": "devices behind this address", "geo_user_countries": "countries seen in the last hour",
-    "ua_bot_flag": "automation signals in the browser string", "ctr": "click-through rate", "cvr": "conversion rate",
-    "account_age_days": "age of the account (days)", "click_position": "position of the ad on the page",
-    "hour_of_day": "hour of day", "is_weekend": "weekend flag",
+    "ua_bot_flag": "automation signals in the browser string",
+    "account_age_days": "age of the account (days)",
 }
 
 # Layer -> phrase, in the order they are tried when no rule fired.
