@@ -46,8 +46,8 @@ def test_isolation_scores_outliers_higher(spark, table):
     legit = table.filter("label = 0")
     forest = M.fit_isolation_forest(legit, trees=30, sample=64)
     odd = spark.createDataFrame([("odd", *[50.0] * len(FEATURES))], "event_id string, " + ", ".join(f"{f} double" for f in FEATURES))
-    usual = M.score_isolation(legit.select("event_id", *FEATURES), forest, 64).agg(F.avg("isolation"), F.min("isolation"), F.max("isolation")).first()
-    high = M.score_isolation(odd, forest, 64).first()["isolation"]
+    usual = M.score_isolation(legit.select("event_id", *FEATURES), forest).agg(F.avg("isolation"), F.min("isolation"), F.max("isolation")).first()
+    high = M.score_isolation(odd, forest).first()["isolation"]
     assert 0 < usual[1] <= usual[2] < 1 and high > usual[0]
 
 
