@@ -72,11 +72,3 @@ def mix64(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     x ^= x >> np.uint64(32)
     return x
 
-
-def drop_files(df: DataFrame) -> None:
-    """Delete the files of a table that an operator wrote for itself and no longer reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
