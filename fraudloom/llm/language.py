@@ -6,6 +6,7 @@ The engine's records carry no language of their own, so ``lang`` is a column of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from fraudloom.llm.common import map_rows
 
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+#: A text of few subwords is judged with so many usual ones, so that a rare name alone does not reject it.
+SMOOTH = 20
 #: Bytes of a lower-cased text: letters and bytes of other scripts stay, all else is a boundary.
 _LETTER = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 
@@ -42,13 +45,16 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class LanguageModel:
-    """``table``: logits that a subword adds, by bucket and language. ``heat``: temperature. ``floor``: lowest accepted score."""
+    """``table``: logits that a subword adds, by bucket and language. ``heat``: temperature. ``known``: log rate of a subword in the
+    language that has it most often, ``usual`` its mean over texts, ``floor`` the lowest accepted mean (``familiarity``)."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     heat: float
-    floor: float
+    floor: float = -np.inf
+    known: np.ndarray | None = None
+    usual: float = 0.0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         """Language, calibrated probability and whether it is rejected, for whole texts at once."""
@@ -57,15 +63,22 @@ class LanguageModel:
             return [UNKNOWN] * n, np.zeros(n), [True] * n
         pieces = [f" {t.lower()} ".encode(errors="replace") if k else b"  " for t, k in zip(texts, known)]
         starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])[:-1]
-        logits, used = np.zeros((n, len(self.languages))), np.zeros(n)
+        logits, used, told = np.zeros((n, len(self.languages))), np.zeros(n), np.zeros(n)
         for buckets in subwords(b"".join(pieces) + b"    ", len(self.table)):
             used += np.add.reduceat((buckets > 0).astype(np.float64), starts)
+            if self.known is not None:
+                told += np.add.reduceat(self.known[buckets], starts, dtype=np.float64)
             for i in range(len(self.languages)):
                 logits[:, i] += np.add.reduceat(self.table[:, i][buckets], starts, dtype=np.float64)
         p = _softmax((logits / np.maximum(used, 1)[:, None] + self.bias) / self.heat)
         best = p.argmax(axis=1)
         score = np.where(known, p[np.arange(n), best], 0.0)
-        return ([self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score, (~known | (score < self.floor)).tolist())
+        return ([self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score, (~known | (familiarity(told, used, self.usual) < self.floor)).tolist())
+
+
+def familiarity(told, used, usual: float):
+    """Mean log rate of ``used`` subwords whose rates add up to ``told``, as if ``SMOOTH`` usual ones were among them."""
+    return (told + SMOOTH * usual) / (used + SMOOTH)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -77,12 +90,14 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: i
         rate: float = 0.5, keep: float = 0.999) -> LanguageModel:
     """Stochastic gradient descent over (buckets, weights) bags; every fifth bag is left out of it and calibrates.
 
-    The temperature minimises the log loss of the calibration bags, whose certainty is taken as (n + 1) / (n + 2). The floor is the score that ``keep`` of the rightly predicted
-    calibration bags reach, at most 0.35, so that a text in two known languages is not rejected.
+    The temperature minimises the log loss of the calibration bags, whose certainty is taken as (n + 1) / (n + 2). The floor is the
+    ``familiarity`` that ``keep`` of the rightly predicted calibration bags reach, and no higher than a normal curve through them
+    has it, as few bags do not show so rare a case. Each subword counts by the language that has it
+    most often, so a text in several known languages is familiar and one in an unlearned language is not, however sure the softmax.
     """
     languages = sorted(set(labels))
     if not languages:
-        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0)
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(7)
     table = rng.normal(0, 0.1, (buckets, dim))
@@ -111,10 +126,19 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: i
 
     heat = float(min(heats, key=loss))
     p = _softmax(z / heat)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-    floor = min(0.35, float(np.quantile(right, 1 - keep))) if len(right) else 0.0
+    counts = np.zeros((buckets, len(languages)))
+    for i in train:
+        counts[bags[i][0], y[i]] += bags[i][1]
+    counts *= 1000 / np.maximum(counts.sum(axis=0), 1e-12)
+    known = np.log((counts.max(axis=1) + 0.001) / 1000).astype(np.float32)
+    known[0] = 0.0
+    means = np.array([bags[i][1] @ known[bags[i][0]] for i in check])
+    used = np.array([1 / bags[i][1].min() for i in check])  # the rarest subword of a bag is mostly there once
+    usual = float(means.mean())
+    right = familiarity(means * used, used, usual)[p.argmax(axis=1) == y[check]]
+    floor = min(float(np.quantile(right, 1 - keep)), float(right.mean() + NormalDist().inv_cdf(1 - keep) * right.std())) if len(right) else -np.inf
     table[0] = 0.0
-    return LanguageModel(languages, (table @ head).astype(np.float32), bias, heat, floor)
+    return LanguageModel(languages, (table @ head).astype(np.float32), bias, heat, floor, known, usual)
 
 
 def train_on(labelled: DataFrame, per_language: int = 1000, most_languages: int = 1000, buckets: int = 1 << 15) -> LanguageModel:

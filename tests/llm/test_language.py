@@ -1,5 +1,5 @@
 import numpy as np
-from fraudloom.llm.language import UNKNOWN, has_letter, identify, identify_language, train_on
+from fraudloom.llm.language import UNKNOWN, fit, has_letter, identify, identify_language, subwords, train_on
 from pyspark.sql import functions as F
 from zlib import crc32
 
@@ -53,3 +53,24 @@ def test_empty_table_unlabelled_rows_and_clashing_names(spark):
 
 def test_letters():
     assert has_letter("1 ß") and not has_letter("1_2") and not has_letter(None)
+
+
+def test_unlearned_languages_and_noise_are_rejected_and_mixed_texts_stay():
+    rng = np.random.default_rng(2)
+    fr = "la règle voit beaucoup de clics depuis un seul appareil pendant cette heure où quelques personnes parlaient ensemble".split()
+    pl = "reguła widzi wiele kliknięć jednego urządzenia przez godzinę kiedy ludzie rozmawiali wspólnie".split()
+    noise = lambda: " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 10))) for _ in range(25))
+    model = learn(rows(600))
+    assert all(model.predict([" ".join(rng.choice(w, 30)) for w in (fr, pl) for _ in range(20)] + [noise() for _ in range(20)])[2])
+    mixed = [" ".join(rng.choice(EN, 15)) + " " + " ".join(rng.choice(DE, k)) for k in (5, 10, 15, 30) for _ in range(10)]
+    assert np.mean(model.predict(mixed)[2]) < 0.03
+
+
+def learn(examples):
+    bags = []
+    for _, text, _ in examples:
+        found = np.concatenate(subwords(f" {text.lower()} ".encode(), 1 << 15))
+        at, count = np.unique(found[found > 0], return_counts=True)
+        bags.append((at, count / count.sum()))
+    order = np.random.default_rng(3).permutation(len(bags))
+    return fit([bags[i] for i in order], [examples[i][2] for i in order])
