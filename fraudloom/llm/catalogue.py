@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
+from fraudloom.llm import bpe, decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix.remove_repeats(reasons(table(spark, folder, "documents").select("doc_id", "text")))
     return out.select(F.col("event_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op11_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    docs = reasons(table(spark, folder, "documents").select("doc_id", "text"))
+    out = bpe.decode_tokens(bpe.encode_reasons(docs, path).drop("reason"), path)
+    return out.select(F.col("event_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
