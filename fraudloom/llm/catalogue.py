@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import bpe, decontaminate, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
+from fraudloom.llm import bpe, decontaminate, exchanges, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,24 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.decode_tokens(bpe.encode_reasons(docs, path).drop("reason"), path)
     return out.select(F.col("event_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def damaged(messages: DataFrame) -> DataFrame:
+    """Messages (``user_id``, ``turn``, ``role``, ``content``) with faults put in by a checksum of user and turn; nulls are one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(blank("user_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(case == 1, "").when(case == 2, F.translate(blank("content"), ".!?", "")).otherwise(blank("content"))
+    rows = messages.select("user_id", "turn", F.when(case == 4, "user").otherwise(blank("role")).alias("role"), text.alias("content"), case.alias("case"))
+    return rows.filter("case <> 0").select("user_id", "turn", "role", "content", F.explode(F.expr("array_repeat(0, if(case = 3, 2, 1))"))).drop("col")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("user_id"), "turn", "role", F.col("text").alias("content"))
+    faults, repaired = exchanges.repair_exchanges(damaged(rows))
+    every, digests = rows.select(F.col("user_id").alias("conv_id")).distinct(), exchanges.exchange_digest(repaired)
+    out = (every.join(faults, F.col("conv_id").eqNullSafe(faults["user_id"]), "left").drop("user_id")
+           .join(digests, F.col("conv_id").eqNullSafe(digests["user_id"]), "left"))
+    zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in exchanges.COUNTS]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
