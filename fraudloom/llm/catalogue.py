@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import bpe, decontaminate, exchanges, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
+from fraudloom.llm import alignment, bpe, decontaminate, exchanges, language, line_dedup, mixing, ordinal, outliers, secrets, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in exchanges.COUNTS]
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = reasons(table(spark, folder, "documents").select("doc_id", "text"))
+    out, _ = alignment.align_reasons(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return out.select(F.col("event_id").cast("long").alias("doc_id"), *alignment.COUNTS, *alignment.SCORES, "groups_sha256")
