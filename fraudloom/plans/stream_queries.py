@@ -25,17 +25,20 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/fraudloom/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark, name, folder, table, parts=3):
-    """File stream of a table, one time slice after the other."""
+def _stream(spark, name, folder, table, parts=3, arrives=None):
+    """File stream of a table, one slice after the other, by time or by ``arrives`` (microseconds)."""
     key = (spark.sparkContext.applicationId, name, source_state(spark, folder))
     if key not in _SOURCES:
         path = _folder(spark, name)
-        cuts = table.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)
+        at = "ts_us" if arrives is None else "_arrives"
+        table = table if arrives is None else table.withColumn(at, arrives)
+        cuts = table.approxQuantile(at, [i / parts for i in range(1, parts)], 0.01)
         bounds = [None, *cuts, None]
         for low, high in zip(bounds, bounds[1:]):
-            part = table if low is None else table.filter(F.col("ts_us") >= low)
-            part = part if high is None else part.filter(F.col("ts_us") < high)
-            part.write.mode("append").parquet(path)
+            part = table if low is None else table.filter(F.col(at) >= low)
+            part = part if high is None else part.filter(F.col(at) < high)
+            part.drop("_arrives").write.mode("append").parquet(path)
+        table = table.drop("_arrives")
         _SOURCES[key] = path
     files = len(spark.read.schema(table.schema).parquet(_SOURCES[key]).inputFiles())
     return (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", -(-files // parts)).parquet(_SOURCES[key]))
@@ -56,6 +59,31 @@ def stateful_features(spark, folder):
     return out.select("event_id", "user_id", "ts_us", *COUNTS, *[r6(c) for c in TIMING])
 
 
+@query("t1_ordered_features", sql(f"select event_id, user_id, ts_us, {', '.join(COUNTS)}, {r6_sql(*TIMING)} from feat where (ts_us // 300000000 + 1) * 300000000 <= {CLOSED}", "feat"))
+def ordered_features(spark, folder):
+    """Clicks that arrive up to 500 seconds late and in ten rows an Arrow batch, described behind the watermark as a batch job would."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", W.ROCKSDB)
+    rows = T.clicks(spark, folder)
+    late = F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(500)) * 1_000_000
+    stream = _stream(spark, "late-clicks", folder, rows, 4, late)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        out = W.run_to_table(W.stream_user_features(stream, "10 minutes", ordered=True), _folder(spark, "t1-ordered"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return out.select("event_id", "user_id", "ts_us", *COUNTS, *[r6(c) for c in TIMING])
+
+
+@query("t5_state_expiry", sql(f"select distinct user_id, ts_us // 300000000 as bucket from clicks where (ts_us // 300000000 + 1) * 300000000 + 600000000 > {CLOSED}"))
+def state_expiry(spark, folder):
+    """Buckets of click times that a ten-minute horizon leaves in the state behind the last watermark."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", W.ROCKSDB)
+    out = _folder(spark, "t5")
+    W.run_to_table(W.stream_user_features(_clicks(spark, folder), "10 minutes", horizon_s=600), out)
+    state = spark.read.format("statestore").option("stateVarName", "times").load(f"{out}/checkpoint")
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.bucket").alias("bucket"))
+
+
 @query("t2_watermark_counts", sql("""select ts_us // 300000000 * 300 as bucket_s, user_id, count(*) as clicks from clicks
 where ts_us // 300000000 * 300000000 + 300000000 + 600000000 <= (select max(ts_us) from clicks) // 1000 * 1000 group by 1, 2"""))
 def watermark_counts(spark, folder):
