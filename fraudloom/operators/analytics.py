@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import LEVEL_RANK, SECOND, TIMELINES, EngineConfig
 from fraudloom.functions.scalars import device_type, flagged_sum
-from fraudloom.operators.prefix import bucket_start, running_totals, value_bucket
+from fraudloom.operators.prefix import bucket_start, running_totals
 
 
 def rows_n() -> Column:
@@ -208,7 +208,7 @@ def rolling_quality(table: DataFrame, bucket_s: int = 10) -> DataFrame:
     marks = table.filter("label is not null").select(
         bucket_start("ts_us", bucket_s).alias("bucket_s"), F.lit(0).alias("all"), one(detected & fraud).alias("tp"),
         one(detected & ~fraud).alias("fp"), one(~detected & fraud).alias("fn"), one(~detected & ~fraud).alias("tn"))
-    run = running_totals(marks, ["all"], "bucket_s", ["tp", "fp", "fn", "tn"], F.floor(F.col("bucket_s") / 86400).cast("long"))
+    run = running_totals(marks, ["all"], "bucket_s", ["tp", "fp", "fn", "tn"])
     share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
     out = run.select("bucket_s", *[F.col(f"{m}_step").alias(f"window_{m}") for m in ("tp", "fp", "fn", "tn")], "tp", "fp", "fn", "tn")
     return out.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"),
@@ -217,8 +217,7 @@ def rolling_quality(table: DataFrame, bucket_s: int = 10) -> DataFrame:
 
 def nearest_rank(table: DataFrame, value: str, share: float) -> DataFrame:
     """One row ``q``: the sorted values' element number int(share * n), at most the last one."""
-    ranked = running_totals(table.select(F.lit(0).alias("all"), value, F.lit(1).cast("long").alias("n")), ["all"], value, ["n"],
-                            value_bucket(value))
+    ranked = running_totals(table.select(F.lit(0).alias("all"), value, F.lit(1).cast("long").alias("n")), ["all"], value, ["n"])
     total = table.agg(rows_n()).scalar()
     rank = F.least(total - 1, F.floor(F.lit(share) * total).cast("long"))
     return ranked.filter((F.col("n") > rank) & (F.col("n") - F.col("n_step") <= rank)).select(F.col(value).alias("q"))
@@ -253,7 +252,7 @@ def prune(decisions: DataFrame, now_us: Column, days: int, max_events: int) -> D
     """Decisions kept by retention: newer than ``days`` and, above ``max_events``, newer than row max_events + 1."""
     young = decisions.filter(F.col("ts_us") >= now_us - days * 86400 * SECOND)
     ranked = running_totals(young.select(F.lit(0).alias("all"), "ts_us", F.lit(1).cast("long").alias("n")), ["all"], "ts_us", ["n"],
-                            F.floor(F.col("ts_us") / (300 * SECOND)).cast("long"), descending=True)
+                            descending=True)
     edge = ranked.filter(F.col("n") > max_events).agg(F.max("ts_us")).scalar()
     return young.filter(F.col("ts_us") > F.coalesce(edge, F.lit(-1)))
 

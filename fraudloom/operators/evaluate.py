@@ -40,7 +40,7 @@ def confusion(scores: DataFrame, detected: Column | None = None, threshold: floa
 def ranked_scores(scores: DataFrame) -> DataFrame:
     """Per layer and distinct score, from the highest: positives and negatives at and above it."""
     marks = scores.select("layer", "score", (F.col("label") == 1).cast("long").alias("tp"), (F.col("label") != 1).cast("long").alias("fp"))
-    return running_totals(marks, ["layer"], "score", ["tp", "fp"], F.floor(F.col("score") * 1024).cast("long"), descending=True)
+    return running_totals(marks, ["layer"], "score", ["tp", "fp"], descending=True)
 
 
 def ranking_metrics(scores: DataFrame) -> DataFrame:

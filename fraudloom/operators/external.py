@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudloom.operators.prefix import previous_time, running_rows
+from fraudloom.operators.prefix import previous_time, range_pieces, running_rows
 
 GROUPS = {"ip_count": ["ip"], "ip_app_count": ["ip", "app"], "ip_dev_os_count": ["ip", "device", "os"], "ip_channel_count": ["ip", "channel"]}
 EXTERNAL_FEATURES = ["app", "device", "os", "channel", "hour", "ip_count", "ip_app_count", "ip_dev_os_count", "ip_channel_count",
@@ -47,10 +47,22 @@ def featurize(clicks: DataFrame) -> DataFrame:
 
 
 def temporal_split(rows: DataFrame, share: float = 0.7) -> DataFrame:
-    """Add ``part``: the first int(share x n) rows by time train, the rest test."""
-    ranked = running_rows(rows.withColumn("_all", F.lit(0)), ["_all"], "click_us", ["event_id"], {"_rank": F.lit(1).cast("long")}).drop("_all")
-    cut = F.floor(F.lit(share) * rows.agg(F.count(F.lit(1))).scalar())
-    return ranked.withColumn("part", F.when(F.col("_rank") <= cut, "train").otherwise("test")).drop("_rank")
+    """Add ``part``: the first int(share x n) rows by time, ties by event, train, the rest test.
+
+    Rows are cut into ranges of (time, event). The sizes of the ranges tell which one holds the cut; only its rows are ranked.
+    """
+    pieces = range_pieces(rows, ["click_us", "event_id"])
+    sizes = sorted((r["_b"], r["count"]) for r in pieces.groupBy("_b").count().collect())  # one row a piece
+    train, before, crossing = int(share * sum(n for _, n in sizes)), 0, -1
+    for piece, n in sizes:
+        if before + n > train:
+            crossing = piece
+            break
+        before += n
+    inner = Window.partitionBy("_b").orderBy("click_us", "event_id")
+    middle = pieces.filter(F.col("_b") == crossing).withColumn("part", F.when(F.row_number().over(inner) <= train - before, "train").otherwise("test"))
+    rest = pieces.filter(F.col("_b") != crossing).withColumn("part", F.when((F.col("_b") < crossing) | (F.lit(crossing) < 0), "train").otherwise("test"))
+    return rest.unionByName(middle).drop("_b")
 
 
 def require_positives(parts: DataFrame, least: int = 2) -> None:

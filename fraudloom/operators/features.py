@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import FEATURES, INTERVAL_EDGES, SECOND, EngineConfig
 from fraudloom.functions.scalars import is_bot_agent
-from fraudloom.operators.prefix import islands, running_steps, running_totals, sliding_deltas, time_bucket
+from fraudloom.operators.prefix import islands, never_null, running_steps, running_totals, sliding_deltas, time_bucket
 
-USER, DEVICE, IP, CAMPAIGN, EVERYTHING = range(5)
+USER, DEVICE, IP = range(3)
 MEASURES = [f"m{i}" for i in range(1, 8)]
 # Entity kind -> (feature, measure) pairs; the measures are shared between kinds to keep the rows narrow.
 OUTPUTS = {
@@ -21,8 +21,6 @@ OUTPUTS = {
            "unique_ads_1h": "m5", "geo_user_countries": "m6", "_top_ad": "m7"},
     DEVICE: {"device_clicks_1m": "m1", "unique_users_per_device": "m2", "unique_ips_per_device": "m3"},
     IP: {"ip_clicks_1m": "m1", "unique_devices_per_ip": "m2", "unique_users_per_ip": "m3", "geo_ip_countries": "m4"},
-    CAMPAIGN: {"_campaign_5m": "m1"},
-    EVERYTHING: {"_all_5m": "m1"},
 }
 # (kind, key column, counted column, measure)
 DISTINCTS = [
@@ -37,7 +35,6 @@ COUNT_STEPS = [
     (USER, None, {"m1": 1, "m2": 1, "m3": 1, "m4": 1}), (USER, 10, {"m1": -1}), (USER, 60, {"m2": -1}),
     (USER, 300, {"m3": -1}), (USER, 3600, {"m4": -1}),
     (DEVICE, None, {"m1": 1}), (DEVICE, 60, {"m1": -1}), (IP, None, {"m1": 1}), (IP, 60, {"m1": -1}),
-    (CAMPAIGN, None, {"m1": 1}), (CAMPAIGN, 300, {"m1": -1}), (EVERYTHING, None, {"m1": 1}), (EVERYTHING, 300, {"m1": -1}),
 ]
 
 
@@ -51,10 +48,10 @@ def _count_steps(clicks: DataFrame) -> DataFrame:
     code = F.col("code")
     kinds = [k for k, _, _ in COUNT_STEPS]
     kind = _pick(code, kinds)
-    key = F.get(F.array("user_id", "device_id", "ip_address", "campaign_id", F.lit("*")), kind)
+    key = F.get(F.array("user_id", "device_id", "ip_address"), kind)
     at_event = _pick(code, [after is None for _, after, _ in COUNT_STEPS])
     shift = _pick(code, [0 if after is None else after * SECOND + 1 for _, after, _ in COUNT_STEPS])
-    rows = clicks.select("event_id", "ts_us", "user_id", "device_id", "ip_address", "campaign_id",
+    rows = clicks.select("event_id", "ts_us", "user_id", "device_id", "ip_address",
                          F.explode(F.array(*[F.lit(i) for i in range(len(COUNT_STEPS))])).alias("code"))
     return rows.select(kind.alias("kind"), key.alias("key"), (F.col("ts_us") + shift).alias("ts_us"),
                        F.when(at_event, F.col("event_id")).alias("event_id"),
@@ -110,6 +107,20 @@ def window_counts(clicks: DataFrame, config: EngineConfig) -> DataFrame:
         for kind, outs in OUTPUTS.items() for name, m in outs.items()])
 
 
+def campaign_counts(clicks: DataFrame, width_s: int = 300) -> DataFrame:
+    """(campaign_id, ts_us, _campaign_5m, _all_5m) at every instant of a campaign's clicks.
+
+    Clicks of one instant are added up first, campaigns are then added up to the whole, and both sums run over pieces cut from the
+    data: neither a campaign nor the whole log is ever one task.
+    """
+    at = never_null(clicks.select("campaign_id", "ts_us"), ["campaign_id"]).groupBy("campaign_id", "ts_us").agg(F.count(F.lit(1)).alias("c"))
+    mine = running_totals(sliding_deltas(at, ["campaign_id"], "ts_us", width_s * SECOND, F.col("c")), ["campaign_id"], "ts_us", ["n"])
+    whole = at.groupBy("ts_us").agg(F.sum("c").alias("c")).withColumn("all", F.lit(0))
+    whole = running_totals(sliding_deltas(whole, ["all"], "ts_us", width_s * SECOND, F.col("c")), ["all"], "ts_us", ["n"])
+    return (at.join(mine.select("campaign_id", "ts_us", F.col("n").alias("_campaign_5m")), ["campaign_id", "ts_us"])
+            .join(whole.select("ts_us", F.col("n").alias("_all_5m")), "ts_us").drop("c"))
+
+
 def recent_times(clicks: DataFrame, config: EngineConfig, last: int = 21) -> DataFrame:
     """event_id and ``recent``: the user's last 21 click times inside the horizon, oldest first.
 
@@ -179,6 +190,8 @@ def compute_features(clicks: DataFrame, config: EngineConfig | None = None) -> D
     counts = window_counts(narrow, config)
     timing = timing_features(recent_times(narrow, config))
     wide = clicks.join(counts, "event_id").join(timing, "event_id")
+    shares = campaign_counts(narrow).withColumnsRenamed({"campaign_id": "_campaign", "ts_us": "_at"})
+    wide = wide.join(shares, (F.coalesce("campaign_id", F.lit("")) == F.col("_campaign")) & (F.col("ts_us") == F.col("_at")))
     derived = {
         "burst_score": F.col("clicks_10s") / (F.lit(1.0) + F.col("clicks_5m") / F.lit(30.0)),
         "repeat_ad_ratio": F.when(F.col("clicks_5m") >= 3, F.col("_top_ad") / F.col("clicks_5m")).otherwise(0.0),

@@ -3,7 +3,11 @@
 A plain ``Window.partitionBy(key)`` sends a whole key to one task, and a moving RANGE frame costs rows x frame.
 Everything here works on (key, bucket) pieces instead: rows are first aggregated to one row per distinct position
 (map-side combined), pieces are processed in parallel, and what crosses a piece boundary is carried by one small row per
-(key, bucket). The only window over a whole key runs on those bucket rows, whose number is bounded by the time span.
+(key, bucket). The only window over a whole key runs on those bucket rows.
+
+Buckets of a key's events are spans of time. Rankings of values, and counters of few keys that all rows share, have their buckets cut
+from the data: quantile sketches (map-side combined) of every key give the cuts, so that a narrow range of values or a busy instant
+makes no larger piece than any other.
 """
 
 from __future__ import annotations
@@ -17,6 +21,10 @@ from fraudloom.config import SECOND
 from fraudloom.session import materialize
 
 
+#: Keys whose cuts may pass through the driver, and pieces a key is cut into at most.
+FEW_KEYS, MOST_PIECES = 64, 1023
+
+
 def time_bucket(ts: str | Column, seconds: int) -> Column:
     """Number of the ``seconds``-wide bucket a microsecond time falls in."""
     col = F.col(ts) if isinstance(ts, str) else ts
@@ -35,15 +43,59 @@ def never_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, empty.get(types[c], F.lit(0).cast(types[c]))) for c in columns})
 
 
+def data_cuts(rows: DataFrame, keys: Sequence[str], order: str, pieces: int | None = None) -> DataFrame:
+    """(keys, ``_cuts``): ascending values that part each key's rows into ``pieces`` of about equal size.
+
+    ``pieces`` is twice the number of shuffle partitions by default. Cuts come from sketches of bounded size; a value that fills several
+    pieces repeats. Up to ``FEW_KEYS`` keys, as in all rankings here, they pass through the driver (8 kB a key at most) and are broadcast;
+    more of them are joined from a written table, where Spark knows their size.
+    """
+    spark = rows.sparkSession
+    pieces = pieces or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = min(pieces, MOST_PIECES)
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    found = rows.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(20 * pieces)).alias("_cuts"))
+    few = found.limit(FEW_KEYS + 1).collect()
+    return F.broadcast(spark.createDataFrame(few, found.schema)) if len(few) <= FEW_KEYS else materialize(found, "cuts")
+
+
+def piece_of(cuts: str | Column, value: str | Column) -> Column:
+    """Number of cuts below a value, by binary search (null and an unknown key: 0)."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_PIECES.bit_length()))])
+    at, of = (F.col(c) if isinstance(c, str) else c for c in (cuts, value))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(at, n + step - 1) < of, n + step).otherwise(n)).cast("long")
+
+
+def in_pieces(points: DataFrame, rows: DataFrame, keys: Sequence[str], order: str, pieces: int | None = None) -> DataFrame:
+    """Add the piece ``_b`` of each point of ``order``, as cut from ``rows``."""
+    cuts = data_cuts(rows, keys, order, pieces)
+    return points.join(cuts, list(keys), "left").withColumn("_b", piece_of("_cuts", order)).drop("_cuts")
+
+
+def range_pieces(rows: DataFrame, order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Rows in pieces ``_b`` along columns of any ordered types, ties parted by the later columns.
+
+    Spark's range partitioning samples the cuts; the pieces are written, so that all who read them see the same ones.
+    """
+    pieces = pieces or max(8, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(rows.repartitionByRange(pieces, *order).withColumn("_b", F.spark_partition_id().cast("long")), "pieces")
+
+
 def running_totals(deltas: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str],
-                   bucket: Column, descending: bool = False) -> DataFrame:
+                   bucket: Column | None = None, descending: bool = False) -> DataFrame:
     """One row per distinct (keys, order) with inclusive running sums of ``measures``.
 
-    The sum of the row itself is kept as ``<measure>_step``. ``bucket`` must be monotone in ``order``.
+    The sum of the row itself is kept as ``<measure>_step``. ``bucket`` must be monotone in ``order``; without one, pieces are cut from
+    the data (``data_cuts``).
     """
     keys = list(keys)
-    points = (never_null(deltas, keys).withColumn("_b", F.coalesce(bucket, F.lit(0).cast("long"))).groupBy(*keys, "_b", order)
-              .agg(*[F.sum(m).alias(f"{m}_step") for m in measures]))
+    deltas = never_null(deltas, keys)
+    if bucket is None:
+        points = deltas.groupBy(*keys, order).agg(*[F.sum(m).alias(f"{m}_step") for m in measures])
+        points = in_pieces(points, deltas, keys, order)
+    else:
+        points = (deltas.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("long"))).groupBy(*keys, "_b", order)
+                  .agg(*[F.sum(m).alias(f"{m}_step") for m in measures]))
     by = F.desc if descending else F.asc
     inside = Window.partitionBy(*keys, "_b").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(by("_b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -192,16 +244,9 @@ def _first_after(points: DataFrame, keys: list[str], ts: str, gap_us: int) -> Da
     return found.select(*keys, F.col("asked").alias(ts), F.coalesce("near", "later").alias("next")).filter("next is not null")
 
 
-def value_bucket(value: str | Column) -> Column:
-    """Coarse bucket that grows with a non-negative value; 64 buckets per factor e."""
-    col = F.col(value) if isinstance(value, str) else value
-    return F.floor(F.log1p(F.greatest(col, F.lit(0.0))) * 64).cast("long")
-
-
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct (keys, value): ``n_step`` rows have it, ``n`` rows are at or below it."""
-    return running_totals(df.select(*keys, value, F.lit(1).cast("long").alias("n")), keys, value, ["n"],
-                          value_bucket(value))
+    return running_totals(df.select(*keys, value, F.lit(1).cast("long").alias("n")), keys, value, ["n"])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -230,5 +275,5 @@ def count_below(probes: DataFrame, reference: DataFrame, value: str, out: str) -
     """Add to each probe how many reference values are smaller: one merged ranking instead of a range join."""
     marks = reference.select(F.lit(0).alias("all"), value, F.lit(1).cast("long").alias("n")).unionByName(
         probes.select(F.lit(0).alias("all"), value, F.lit(0).cast("long").alias("n")))
-    ranked = running_totals(marks, ["all"], value, ["n"], value_bucket(value))
+    ranked = running_totals(marks, ["all"], value, ["n"])
     return probes.join(ranked.select(value, (F.col("n") - F.col("n_step")).alias(out)), value)

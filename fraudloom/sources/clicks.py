@@ -128,7 +128,7 @@ def feature_messages(features: DataFrame) -> DataFrame:
 
 
 def read_csv_clicks(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded clicks from CSV: ground truth dropped, empty text becomes null, ordered by time."""
+    """Recorded clicks from CSV: ground truth dropped, empty text becomes null. Readers that need the order of time sort by ``ts_us, event_id``."""
     header = spark.read.option("header", True).csv(path).columns  # header line only
     types = {f.name: f.dataType for f in CLICK_SCHEMA}
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
@@ -137,7 +137,7 @@ def read_csv_clicks(spark: SparkSession, path: str) -> DataFrame:
     for name in CLICK_SCHEMA.names:
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast(types[name]))
-    return with_defaults(raw.select(*CLICK_SCHEMA.names)).orderBy("ts_us", "event_id")
+    return with_defaults(raw.select(*CLICK_SCHEMA.names))
 
 
 def read_external_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -75,3 +75,43 @@ def test_throttle_is_greedy(spark, seed):
                 last = t
     got = P.throttle(spark.createDataFrame(rows, "k string, ts bigint"), ["k"], "ts", 300 * S).collect()
     assert sorted((r["k"], r["ts"]) for r in got) == sorted(want)
+
+
+def narrow_scores(n=20_000):
+    """90 % of the scores lie within 0.001 of each other, a tenth of all on one value."""
+    rng = np.random.default_rng(7)
+    return np.concatenate([0.5 + rng.random(n * 8 // 10) / 1000, np.full(n // 10, 0.5004), rng.random(n // 10)])
+
+
+def test_pieces_are_cut_from_the_data(spark):
+    scores = narrow_scores()
+    df = spark.createDataFrame([(k, float(v)) for k in ("rules", "ml") for v in scores], "layer string, score double")
+    points = df.distinct()
+    sizes = [r["count"] for r in P.in_pieces(points, points, ["layer"], "score", 16).groupBy("layer", "_b").count().collect()]
+    assert len(sizes) == 32 and max(sizes) <= 2 * sorted(sizes)[16]
+
+
+def test_piece_of_is_the_number_of_cuts_below(spark):
+    cuts = sorted([1.0, 2.0, 2.0, 2.0, 7.5] + [float(i) for i in range(10, 200)])
+    rows = [(cuts[:n], v) for n in (0, 1, 5, 100, len(cuts)) for v in (None, -1.0, 1.0, 1.5, 2.0, 3.0, 7.5, 150.0, 1e9)] + [(None, 2.0)]
+    got = spark.createDataFrame(rows, "c array<double>, v double").select("c", "v", P.piece_of("c", "v").alias("b")).collect()
+    assert all(r["b"] == (0 if r["c"] is None or r["v"] is None else sum(c < r["v"] for c in r["c"])) for r in got)
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_running_totals_over_cut_pieces(spark, monkeypatch, few):
+    monkeypatch.setattr(P, "FEW_KEYS", few)
+    scores = narrow_scores(3000)
+    df = spark.createDataFrame([("rules", float(v), 1) for v in scores] + [(None, 0.25, 1), ("rules", None, 5)], "layer string, score double, n long")
+    for down in (False, True):
+        got = {(r["layer"], r["score"]): (r["n_step"], r["n"]) for r in P.running_totals(df, ["layer"], "score", ["n"], descending=down).collect()}
+        assert got[("", 0.25)] == (1, 1)
+        for v in np.unique(scores)[::97]:
+            reached = int((scores >= v).sum()) if down else int((scores <= v).sum()) + 5  # a null stands first
+            assert got[("rules", float(v))] == (int((scores == v).sum()), reached)
+
+
+def test_range_pieces_part_ties(spark):
+    df = spark.createDataFrame([(5 if i < 900 else i, f"e{i:04d}") for i in range(1000)], "ts long, id string")
+    sizes = [r["count"] for r in P.range_pieces(df, ["ts", "id"], 8).groupBy("_b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
