@@ -1,4 +1,4 @@
-"""Exact removal of long repeated substrings from reasons, by distributed prefix doubling.
+"""Exact removal of long repeated substrings from reasons, by anchors and windows ranked by doubled byte ranks.
 
 Ranks of byte strings double in length: the rank of 2h bytes at a position is the name of the pair (rank of h bytes there, rank of h
 bytes h further on). Sorting pairs and re-ranking all positions of a corpus would shuffle many times its size, so three things keep
@@ -26,7 +26,7 @@ from fraudloom.llm.common import map_rows, mix64, pack, slices, unpack
 from fraudloom.session import materialize
 
 SEED = 48
-PIECE = 8 << 20  # bytes of a longer text ranked at a time
+PIECE = 1 << 20  # bytes of a longer text ranked at a time
 TOGETHER = 1 << 16  # bytes of short texts ranked at a time
 FLUSH = 400_000  # positions a task holds before it sorts and sends them
 SPREAD = 4  # contexts of one seed in one flush beyond which they are dealt by context
@@ -34,14 +34,15 @@ _LOW = np.uint64((1 << 24) - 1)
 FILTER_BITS = 1 << 23
 
 
-def ranks(data: np.ndarray, salt: int = 0) -> dict[int, np.ndarray]:
-    """Ranks of the 1, 2, 4, ... 128 bytes at every position that has so many."""
+def ranks(data: np.ndarray, sizes: tuple[int, ...], salt: int = 0) -> dict[int, np.ndarray]:
+    """Ranks of so many bytes (powers of two) at every position that has them; smaller ranks on the way are let go."""
     h, n = data.astype(np.uint64) + np.uint64(1 + salt), 1
-    out = {1: h}
-    while n < 128 and len(h) > n:
+    out = {}
+    while n < max(sizes) and len(h) > n:
         h = mix64(h[:-n], h[n:], n + salt)
         n *= 2
-        out[n] = h
+        if n in sizes:
+            out[n] = h
     return out
 
 
@@ -61,7 +62,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchors of several texts laid end to end: seed, context rank, text number, and first and last window (offsets in the text)."""
-    h = ranks(data)
+    h = ranks(data, (32, 64, 128))
     seed = _stretch(h, np.arange(max(0, len(data) - SEED + 1)), SEED, 32, SEED)
     where = (_sliding_min(seed & ~_LOW | np.arange(len(seed), dtype=np.uint64), length - SEED + 1) & _LOW).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
@@ -240,8 +241,9 @@ def _anchor_round(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             held.append((seed, context, orders[text], p0 + bases[text], p1 - p0))
             count += len(seed)
             if count >= FLUSH:
-                yield _batch(flush())
-                held, count = [], 0
+                ready, count = _batch(flush()), 0
+                held.clear()
+                yield ready
         if held:
             yield _batch(flush())
 
@@ -293,12 +295,13 @@ def _window_round(open_texts: DataFrame, length: int, buckets: int) -> DataFrame
                             end = min(b, at + PIECE)
                             piece = data[at:end + length - 1]
                             p = np.arange(end - at)
-                            rank, check = (_stretch(ranks(piece, salt), p, length, 64, 100) for salt in (0, 1 << 20))
+                            rank, check = (_stretch(ranks(piece, (64,), salt), p, length, 64, 100) for salt in (0, 1 << 20))
                             held.append((rank, (check >> np.uint64(32)).astype(np.uint32), np.full(len(p), order, np.int64), p + at))
                             count += len(p)
-                    if count >= FLUSH:
-                        yield _batch(flush())
-                        held, count = [], 0
+                            if count >= FLUSH:
+                                ready, count = _batch(flush()), 0
+                                held.clear()
+                                yield ready
         if held:
             yield _batch(flush())
 

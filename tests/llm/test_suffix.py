@@ -71,3 +71,18 @@ def test_hot_seed_with_many_contexts(reasons_of, prose):
     common = "the same sentence of a notice that very many of the reasons hold" * 2
     rows = [(i, f"{prose(10)} {i} {common} {i * 7} {prose(10)}") for i in range(300)]
     assert got(reasons_of(rows, "long")) == brute(rows)
+
+
+def test_memory_of_a_very_long_text(prose):
+    """Ranking a text of 8 MB takes less than 200 MB at any time."""
+    import tracemalloc
+    data = (prose(300_000) + " ").encode()
+    data = data * (1 + (8 << 20) // len(data))
+    tracemalloc.start()
+    windows = 0
+    for laid, ends, orders, bases in suffix._laid_out([(1, data)], 100):
+        _, _, _, p0, p1 = suffix.anchors(laid, ends, 100)
+        windows += int((p1 - p0 + 1).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == len(data) - 99 and peak < 200 << 20
