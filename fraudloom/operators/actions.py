@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import SECOND, EngineConfig
 from fraudloom.operators.prefix import sliding_count, throttle, time_bucket
+from fraudloom.operators.reasons import reason_detail
 
 
 def auto_blocks(decisions: DataFrame, config: EngineConfig) -> DataFrame:
@@ -19,6 +20,17 @@ def auto_blocks(decisions: DataFrame, config: EngineConfig) -> DataFrame:
     return first.select("user_id", F.col("r.ts_us").alias("block_us"), "r.event_id", "r.device_id", "r.campaign_id", "r.risk")
 
 
+def block_records(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Blocklist rows of the auto-blocks with why: a one-line reason and the full detail of the decision that led to them."""
+    detail = decisions.select("event_id", "rules_fired", reason_detail().alias("reason_detail"))
+    why = F.format_string("auto: risk %.2f (%s)", F.col("risk"), F.when(F.size("rules_fired") > 0, F.array_join("rules_fired", ", ")).otherwise("ml/graph/anomaly"))
+    rows = blocks.join(detail, "event_id").withColumn("why", why)
+    return rows.select(F.inline(F.array(
+        F.struct(F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id")),
+        F.struct(F.lit("device").alias("entity_type"), F.col("device_id").alias("entity_id")))),
+        F.col("block_us").alias("ts_us"), F.col("why").alias("reason"), "reason_detail")
+
+
 def block_events(blocks: DataFrame) -> DataFrame:
     """Blocklist changes of the auto-blocks: the user and, with it, the device."""
     return blocks.select(F.inline(F.array(
@@ -56,11 +68,11 @@ def user_alerts(decisions: DataFrame, clusters: DataFrame, config: EngineConfig)
 def alert_rows(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Alert records: the strongest decision of the user at the alert's time."""
     best = decisions.filter(F.col("level").isin("HIGH", "CRITICAL")).groupBy("user_id", "ts_us").agg(
-        F.max_by(F.struct("event_id", "campaign_id", "level", "risk", "reason", "reason_title", "event_type"),
+        F.max_by(F.struct("event_id", "campaign_id", "level", "risk", "reason", "reason_title", "event_type", reason_detail().alias("detail")),
                  F.struct("risk", "event_id")).alias("d"))
     joined = alerts.join(best, ["user_id", "ts_us"])
     return joined.select("user_id", "ts_us", "d.event_id", "d.campaign_id", F.col("d.level").alias("severity"), "d.risk", "d.reason",
-                         "d.reason_title", F.concat(F.lit("Suspicious activity: "), "user_id").alias("title"),
+                         "d.reason_title", F.col("d.detail").alias("reason_detail"), F.concat(F.lit("Suspicious activity: "), "user_id").alias("title"),
                          F.when(F.col("d.event_type") == "signup", "resolved").otherwise("open").alias("status"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.config import FEATURES, SECOND
 from fraudloom.operators.prefix import count_below, quantiles, running_rows
-from fraudloom.session import materialize
 
 
 def long_features(table: DataFrame, extra: tuple = ()) -> DataFrame:
@@ -95,18 +97,62 @@ def page_hinkley(rows: DataFrame, key: str, value: str, delta: float = 0.01, thr
             .select(key, F.col("a.ts_us").alias("ts_us"), F.col("a.event_id").alias("event_id")))
 
 
+class HinkleyState:
+    """Detector of one key: count, mean, cumulated deviation and its minimum since the last alarm. It lives across batches of rows."""
+
+    __slots__ = ("n", "mean", "cum", "low")
+
+    def __init__(self) -> None:
+        self.n, self.mean, self.cum, self.low = 0, 0.0, 0.0, 0.0
+
+    def alarms(self, values: list[float], delta: float, threshold: float) -> list[int]:
+        """Places in ``values`` where the detector raises an alarm and starts afresh."""
+        n, mean, cum, low, out = self.n, self.mean, self.cum, self.low, []
+        for i, x in enumerate(values):
+            n += 1
+            mean += (x - mean) / n
+            cum += x - mean - delta
+            if cum < low:
+                low = cum
+            elif cum - low > threshold:
+                out.append(i)
+                n, mean, cum, low = 0, 0.0, 0.0, 0.0
+        self.n, self.mean, self.cum, self.low = n, mean, cum, low
+        return out
+
+
 def page_hinkley_resets(rows: DataFrame, key: str, value: str, delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
-    """Every alarm of each key, with the detector restarted after each: as many rounds as the busiest key has alarms."""
-    left = materialize(rows.select(key, "ts_us", "event_id", value), "ph")
-    alarms = None
-    while True:
-        found = materialize(page_hinkley(left, key, value, delta, threshold), "alarms")
-        if found.isEmpty():
-            break
-        alarms = found if alarms is None else alarms.unionByName(found)
-        cut = found.select(key, F.struct("ts_us", "event_id").alias("_cut"))
-        left = materialize(left.join(cut, key).filter(F.struct("ts_us", "event_id") > F.col("_cut")).drop("_cut"), "ph")
-    return found if alarms is None else alarms
+    """Every alarm of each key, with the detector restarted after each: (key, ts_us, event_id).
+
+    One pass: rows are sorted by key and time within partitions and streamed; a key's detector is four numbers that outlive an
+    Arrow batch. A restart forgets all before it, so a key cannot be cut; a very busy one is one stream of constant memory.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.filter(F.col(value).isNotNull()).select(key, "ts_us", "event_id", F.col(value).cast("double").alias("_x"))
+    dealt = given.repartition(parts, key).sortWithinPartitions(key, "ts_us", "event_id")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, HinkleyState()
+        for batch in batches:
+            keys, values = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            hits, start = [], 0
+            while start < len(keys):
+                stop = start + 1
+                while stop < len(keys) and keys[stop] == keys[start]:
+                    stop += 1
+                if keys[start] != at:
+                    at, state = keys[start], HinkleyState()
+                hits += [start + i for i in state.alarms(values[start:stop], delta, threshold)]
+                start = stop
+            yield batch.take(pa.array(hits, pa.int64())).select([0, 1, 2])
+
+    return dealt.mapInArrow(stream, given.drop("_x").schema)
+
+
+def drift_events(rows: DataFrame, value: str = "risk", key: str = "campaign_id", delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
+    """Messages for the model-updates topic: (key, ts_us, type), one per alarm of the detector on each key's stream of risks."""
+    found = page_hinkley_resets(rows, key, value, delta, threshold)
+    return found.select(F.col(key).alias("key"), "ts_us", F.lit("DRIFT_DETECTED").alias("type"), "event_id")
 
 
 # ---------------------------------------------------------------- training labels

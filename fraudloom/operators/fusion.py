@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudloom.config import ACTIONS, EngineConfig
+from fraudloom.config import ACTIONS, RULE_TEXT, EngineConfig
 from fraudloom.functions.scalars import mask_ip
 
 LAYERS = ["rules", "ml", "online", "anomaly"]
@@ -98,8 +98,15 @@ def assemble_decisions(table: DataFrame, model_version: str = "none") -> DataFra
 
 
 def reject_blocked(table: DataFrame, blocked: str = "is_blocked") -> DataFrame:
-    """Overwrite the decision of clicks from blocked entities."""
-    hit = F.col(blocked)
+    """Overwrite the decision of clicks from blocked entities: no layer has a say, and the reason tells why.
+
+    Columns of the decision that ``table`` does not have yet are added for the rejected rows (null elsewhere).
+    """
+    hit, (title, text) = F.col(blocked), RULE_TEXT["blocked_entity"]
     fixed = {"risk": F.lit(1.0), "level": F.lit("CRITICAL"), "action": F.lit("REJECTED"), "confidence": F.lit("HIGH"),
-             "rules_fired": F.array(F.lit("blocked_entity"))}
-    return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in fixed.items()})
+             "rules_fired": F.array(F.lit("blocked_entity")), "reason_title": F.lit(title), "reason": F.lit(text[0].upper() + text[1:])}
+    given = {f"score_{layer}" for layer in [*LAYERS, "graph"]} & set(table.columns)
+    fixed |= {c: F.lit(None).cast("double") for c in given}
+    fixed |= {"risk_raw": F.lit(1.0)} if "risk_raw" in table.columns else {}
+    fixed |= {"factors": F.array().cast(table.schema["factors"].dataType)} if "factors" in table.columns else {}
+    return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) if c in table.columns else F.when(hit, v) for c, v in fixed.items()})

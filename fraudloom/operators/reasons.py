@@ -119,6 +119,22 @@ def explain(table: DataFrame, config: EngineConfig | None = None) -> DataFrame:
                                "reason": capitalized(F.array_join(body, "; "))}).drop("_said"))
 
 
+def reason_detail(blockers: Column | None = None) -> Column:
+    """Everything a decision rests on, as one struct: for alerts, blocks and the analyst's detail view.
+
+    ``blockers`` lists blocked entities that the click was also seen with. Computed from columns of the decision, so storing it once
+    with an alert or a block is enough; it converts to JSON as it is.
+    """
+    layers = ["rules", "ml", "online", "anomaly", "graph"]
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.col("reason_title").alias("title"), "reason", "event_id", "level", "action", "risk", F.col("rules_fired").alias("rules"),
+        F.slice("factors", 1, 3).alias("factors"), F.struct(*[score_column(x).alias(x) for x in layers]).alias("scores"),
+        F.coalesce(blockers, none).alias("blockers") if blockers is not None else none.alias("blockers"),
+        F.struct(*[F.col(f"graph_{x}").alias(x) for x in ("users", "devices", "ips", "subnets")]).alias("graph"),
+        "user_id", "device_id", "campaign_id", F.col("ts_us").alias("event_us"))
+
+
 def backfill_reasons(stored: DataFrame) -> DataFrame:
     """Reasons for rows written without one, from their rules and scores alone."""
     bare = {k: F.lit(None).cast("string") for k in _values(None)}

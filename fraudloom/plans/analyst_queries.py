@@ -234,6 +234,15 @@ def auto_blocks(spark, folder):
     return _blocks(spark, folder)
 
 
+@query("a1_block_records", sql("""select e.entity_type, e.entity_id, block_us as ts_us, printf('auto: risk %.2f (%s)', d.risk,
+    case when len(rules_fired) > 0 then array_to_string(rules_fired, ', ') else 'ml/graph/anomaly' end) as reason, d.event_id as detail_event, d.level as detail_level, d.reason as detail_reason
+  from blocks b join decisions d using (event_id), (values ('user', b.user_id), ('device', b.device_id)) e(entity_type, entity_id)""", "decisions", BLOCKS))
+def block_records(spark, folder):
+    out = A.block_records(_blocks(spark, folder), T.decisions(spark, folder))
+    return out.select("entity_type", "entity_id", "ts_us", "reason", F.col("reason_detail.event_id").alias("detail_event"),
+                      F.col("reason_detail.level").alias("detail_level"), F.col("reason_detail.reason").alias("detail_reason"))
+
+
 # The spread-out example data never has five blocks of a campaign in two minutes; every CRITICAL click stands for a block here.
 CLUSTERS = """
 ccount as (select campaign_id, ts_us, count(*) over (partition by campaign_id order by ts_us range between 120000000 preceding and current row) as blocks
@@ -261,7 +270,7 @@ acand as (select d.user_id, d.ts_us from decisions d where level in ('HIGH', 'CR
 achain(user_id, ts_us) as (select user_id, min(ts_us) from acand group by 1
   union all select c.user_id, min(c.ts_us) from achain r join acand c on c.user_id = r.user_id and c.ts_us >= r.ts_us + 300000000 group by c.user_id),
 alerts as (select a.user_id, a.ts_us, d.event_id, d.campaign_id, d.level as severity, d.risk, d.reason_title,
-    case when d.event_type = 'signup' then 'resolved' else 'open' end as status
+    case when d.event_type = 'signup' then 'resolved' else 'open' end as status, d.reason
   from achain a join decisions d on d.user_id = a.user_id and d.ts_us = a.ts_us and d.level in ('HIGH', 'CRITICAL')
   qualify row_number() over (partition by a.user_id, a.ts_us order by d.risk desc, d.event_id desc) = 1)"""
 
@@ -273,9 +282,10 @@ def _alerts(spark, folder):
     return staged(spark, "alerts", (folder,), build)
 
 
-@query("a3_user_alerts", sql("select user_id, ts_us, event_id, campaign_id, severity, risk, reason_title, status from alerts", "decisions", ALERTS))
+@query("a3_user_alerts", sql("select user_id, ts_us, event_id, campaign_id, severity, risk, reason_title, status, reason as detail_reason, event_id as detail_event from alerts", "decisions", ALERTS))
 def user_alerts(spark, folder):
-    return _alerts(spark, folder).select("user_id", "ts_us", "event_id", "campaign_id", "severity", "risk", "reason_title", "status")
+    return _alerts(spark, folder).select("user_id", "ts_us", "event_id", "campaign_id", "severity", "risk", "reason_title", "status",
+                                         F.col("reason_detail.reason").alias("detail_reason"), F.col("reason_detail.event_id").alias("detail_event"))
 
 
 LINKED = BLOCKS + """,

@@ -128,10 +128,24 @@ def decision_rows(spark, folder):
                                              "confidence", r6("score_rules", "rules"), r6("score_graph", "graph"), joined("rules_fired"))
 
 
-@query("z8_rejected", sql("select event_id, user_id, device_id, risk, level, action, confidence, array_to_string(rules_fired, ',') as rules_fired from enforced where hit", "enforced"))
+@query("z8_rejected", sql("select event_id, user_id, device_id, risk, level, action, confidence, array_to_string(rules_fired, ',') as rules_fired, "
+                           "reason_title, reason, score_rules, score_graph from enforced where hit", "enforced"))
 def rejected(spark, folder):
     return T.enforced(spark, folder).filter("action = 'REJECTED'").select(
-        "event_id", "user_id", "device_id", "risk", "level", "action", "confidence", joined("rules_fired"))
+        "event_id", "user_id", "device_id", "risk", "level", "action", "confidence", joined("rules_fired"), "reason_title", "reason",
+        "score_rules", "score_graph")
+
+
+@query("x8_reason_detail", sql("""select event_id, level, action, risk, array_to_string(rules_fired, ',') as rules, score_rules as rules_score, score_graph as graph_score,
+  graph_users, graph_devices, ts_us as event_us, reason, reason_title as title, case when level in ('HIGH', 'CRITICAL') and not hit then least(3, len(rules_fired)) else 0 end::int as n_factors,
+  case when level in ('HIGH', 'CRITICAL') and not hit and len(rules_fired) > 0 then upper(substr(rules_fired[1], 1, 1)) || replace(substr(rules_fired[1], 2), '_', ' ') end as first_factor
+  from enforced""", "enforced"))
+def reason_detail(spark, folder):
+    """The evidence behind every decision, as alerts, blocks and the analyst view carry it."""
+    rows = T.enforced(spark, folder).select("event_id", X.reason_detail().alias("d"))
+    return rows.select("event_id", "d.level", "d.action", "d.risk", F.array_join("d.rules", ",").alias("rules"), F.col("d.scores.rules").alias("rules_score"),
+                       F.col("d.scores.graph").alias("graph_score"), F.col("d.graph.users").alias("graph_users"), F.col("d.graph.devices").alias("graph_devices"),
+                       "d.event_us", "d.reason", "d.title", F.size("d.factors").alias("n_factors"), F.get("d.factors", F.lit(0))["label"].alias("first_factor"))
 
 
 # ---------------------------------------------------------------- graph

@@ -233,7 +233,10 @@ ENFORCED = """
 enforced as (select * replace (
     case when hit then 1.0 else risk end as risk, case when hit then 'CRITICAL' else level end as level,
     case when hit then 'REJECTED' else action end as action, case when hit then 'HIGH' else confidence end as confidence,
-    case when hit then ['blocked_entity'] else rules_fired end as rules_fired)
+    case when hit then ['blocked_entity'] else rules_fired end as rules_fired,
+    case when hit then 'Already blocked' else reason_title end as reason_title,
+    case when hit then 'This account, device or network address is already blocked, so the click was rejected' else reason end as reason,
+    case when hit then null else score_rules end as score_rules, case when hit then null else score_graph end as score_graph)
   from (select *, user_id = 'U0' or device_id = 'D1' or ip_address = '45.9.0.7' as hit from decisions))
 """
 
