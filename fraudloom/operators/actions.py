@@ -39,20 +39,36 @@ def block_events(blocks: DataFrame) -> DataFrame:
         F.col("block_us").alias("ts_us"), F.lit(True).alias("active"), F.col("user_id").alias("linked_user"))
 
 
-def cluster_alerts(blocks: DataFrame, config: EngineConfig) -> DataFrame:
-    """Campaigns under attack: enough blocks inside the window, then silence for the same time."""
-    counted = sliding_count(blocks.withColumnRenamed("block_us", "ts_us"), ["campaign_id"], "ts_us", config.cluster_window_s, "blocks")
-    enough = counted.filter(F.col("blocks") >= config.cluster_blocks)
-    passed = throttle(enough, ["campaign_id"], "ts_us", config.cluster_window_s * SECOND + 1)
+def cluster_alerts(blocks: DataFrame, config: EngineConfig, earlier: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Campaigns under attack: enough blocks inside the window, then silence for the same time.
+
+    A stream goes on where it stopped: ``earlier`` has blocks that count but no longer alert, ``last`` (campaign_id, ts_us) the latest
+    alert of each campaign.
+    """
+    rows = blocks.select("campaign_id", F.col("block_us").alias("ts_us"), F.lit(True).alias("_new"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("campaign_id", F.col("block_us").alias("ts_us"), F.lit(False).alias("_new")))
+    counted = sliding_count(rows, ["campaign_id"], "ts_us", config.cluster_window_s, "blocks")
+    gap = config.cluster_window_s * SECOND + 1
+    enough = counted.filter((F.col("blocks") >= config.cluster_blocks) & F.col("_new"))
+    if last is not None:
+        enough = _after(enough, last, "campaign_id", gap)
+    passed = throttle(enough, ["campaign_id"], "ts_us", gap)
     sizes = enough.groupBy("campaign_id", "ts_us").agg(F.max("blocks").alias("blocks"))
     return passed.join(sizes, ["campaign_id", "ts_us"])
 
 
-def user_alerts(decisions: DataFrame, clusters: DataFrame, config: EngineConfig) -> DataFrame:
+def _after(rows: DataFrame, last: DataFrame, key: str, gap_us: int) -> DataFrame:
+    """Rows at least ``gap_us`` after their key's latest alert; every row of a key without one."""
+    free = last.groupBy(key).agg((F.max("ts_us") + gap_us).alias("_free"))
+    return rows.join(free, key, "left").filter("_free is null or ts_us >= _free").drop("_free")
+
+
+def user_alerts(decisions: DataFrame, clusters: DataFrame, config: EngineConfig, last: DataFrame | None = None) -> DataFrame:
     """(user_id, ts_us) of HIGH/CRITICAL alerts: one per user and gap, none while the campaign's cluster alert is live.
 
     Cluster alerts of a campaign are more than their window apart, so a bucket of that width holds at most one, and the
-    one that mutes a click lies in the click's bucket or the one before.
+    one that mutes a click lies in the click's bucket or the one before. ``last`` (user_id, ts_us): the latest alert of each user so far.
     """
     width = config.cluster_window_s
     live = clusters.select("campaign_id", F.col("ts_us").alias("from_us"), time_bucket("ts_us", width).alias("_b"))
@@ -62,7 +78,10 @@ def user_alerts(decisions: DataFrame, clusters: DataFrame, config: EngineConfig)
     earlier = live.select("campaign_id", F.col("from_us").alias("before_us"), (F.col("_b") + 1).alias("_b"))
     marked = rows.join(here, ["campaign_id", "_b"], "left").join(earlier, ["campaign_id", "_b"], "left")
     mutes = lambda c: F.coalesce((F.col(c) <= F.col("ts_us")) & (F.col("ts_us") < F.col(c) + width * SECOND), F.lit(False))
-    return throttle(marked.filter(~mutes("here_us") & ~mutes("before_us")), ["user_id"], "ts_us", config.alert_gap_s * SECOND)
+    heard = marked.filter(~mutes("here_us") & ~mutes("before_us"))
+    if last is not None:
+        heard = _after(heard, last, "user_id", config.alert_gap_s * SECOND)
+    return throttle(heard, ["user_id"], "ts_us", config.alert_gap_s * SECOND)
 
 
 def alert_rows(alerts: DataFrame, decisions: DataFrame) -> DataFrame:

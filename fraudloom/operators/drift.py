@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fraudloom.config import FEATURES, SECOND
 from fraudloom.operators.prefix import count_below, quantiles, running_rows
@@ -121,38 +123,56 @@ class HinkleyState:
         return out
 
 
-def page_hinkley_resets(rows: DataFrame, key: str, value: str, delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
-    """Every alarm of each key, with the detector restarted after each: (key, ts_us, event_id).
+HINKLEY_STATE = "n long, mean double, cum double, low double"
+
 
-    One pass: rows are sorted by key and time within partitions and streamed; a key's detector is four numbers that outlive an
-    Arrow batch. A restart forgets all before it, so a key cannot be cut; a very busy one is one stream of constant memory.
+def hinkley_step(rows: DataFrame, key: str, value: str, state: DataFrame | None = None, delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
+    """Alarms of a batch of rows, and every key's detector after it.
+
+    Result: the key, ``ts_us``, ``event_id`` (null for a detector) and the detector's ``n``, ``mean``, ``cum``, ``low`` (null for an alarm).
+    ``state`` has the detectors before the batch. One pass: rows are sorted by key and time within partitions and streamed behind
+    their detector, four numbers that outlive an Arrow batch. A restart forgets all before it, so a key cannot be cut; a very busy
+    one is one stream of constant memory.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = rows.filter(F.col(value).isNotNull()).select(key, "ts_us", "event_id", F.col(value).cast("double").alias("_x"))
-    dealt = given.repartition(parts, key).sortWithinPartitions(key, "ts_us", "event_id")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.filter(F.col(value).isNotNull()).select(key, "ts_us", "event_id", F.col(value).cast("double").alias("mean"))
+    given = given.select(F.lit(1).alias("kind"), key, "ts_us", "event_id", F.lit(0).cast("long").alias("n"), "mean", *[F.lit(0.0).alias(c) for c in ("cum", "low")])
+    if state is not None:
+        given = given.unionByName(state.select(F.lit(0).alias("kind"), key, F.lit(0).cast("long").alias("ts_us"), F.lit(None).cast(given.schema["event_id"].dataType).alias("event_id"), "n", "mean", "cum", "low"))
+    dealt = given.repartition(parts, key).sortWithinPartitions(key, "kind", "ts_us", "event_id")
+    schema = T.StructType([given.schema[c] for c in (key, "ts_us", "event_id")] + [T.StructField(c, T.LongType() if c == "n" else T.DoubleType()) for c in ("n", "mean", "cum", "low")])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, HinkleyState()
+        arrow = to_arrow_schema(schema)
+        at, held = None, None
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(arrow), arrow)], schema=arrow)
+
         for batch in batches:
-            keys, values = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            hits, start = [], 0
-            while start < len(keys):
-                stop = start + 1
-                while stop < len(keys) and keys[stop] == keys[start]:
-                    stop += 1
-                if keys[start] != at:
-                    at, state = keys[start], HinkleyState()
-                hits += [start + i for i in state.alarms(values[start:stop], delta, threshold)]
-                start = stop
-            yield batch.take(pa.array(hits, pa.int64())).select([0, 1, 2])
-
-    return dealt.mapInArrow(stream, given.drop("_x").schema)
-
-
-def drift_events(rows: DataFrame, value: str = "risk", key: str = "campaign_id", delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
-    """Messages for the model-updates topic: (key, ts_us, type), one per alarm of the detector on each key's stream of risks."""
-    found = page_hinkley_resets(rows, key, value, delta, threshold)
-    return found.select(F.col(key).alias("key"), "ts_us", F.lit("DRIFT_DETECTED").alias("type"), "event_id")
+            out: list[tuple] = []
+            kind, keys, ts, ids, n, x, cum, low = (c.to_pylist() for c in batch.columns)
+            edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for start, stop in zip(edges, edges[1:]):
+                if held is None or keys[start] != at:
+                    out += [(at, None, None, held.n, held.mean, held.cum, held.low)] if held else []
+                    at, held = keys[start], HinkleyState()
+                if kind[start] == 0:
+                    held.n, held.mean, held.cum, held.low = n[start], x[start], cum[start], low[start]
+                    start += 1
+                out += [(at, ts[start + i], ids[start + i], None, None, None, None) for i in held.alarms(x[start:stop], delta, threshold)]
+            yield packed(out)
+        if held:
+            yield packed([(at, None, None, held.n, held.mean, held.cum, held.low)])
+
+    return dealt.select("kind", key, "ts_us", "event_id", "n", "mean", "cum", "low").mapInArrow(stream, schema)
+
+
+def page_hinkley_resets(rows: DataFrame, key: str, value: str, delta: float = 0.01, threshold: float = 30.0) -> DataFrame:
+    """Every alarm of each key, with the detector restarted after each: (key, ts_us, event_id), in one pass."""
+    return hinkley_step(rows, key, value, None, delta, threshold).filter("n is null").select(key, "ts_us", "event_id")
 
 
 # ---------------------------------------------------------------- training labels

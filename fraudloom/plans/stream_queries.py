@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from fraudloom.plans import tables as T
+from fraudloom.plans.analyst_queries import BLOCKS
 from fraudloom.plans.oracle import FLAGGED, sql
-from fraudloom.plans.registry import query, r6, r6_sql
+from fraudloom.plans.quality_queries import RESETS
+from fraudloom.plans.registry import query, r6, r6_of, r6_sql
 from fraudloom.session import shared_folder, source_state
 from fraudloom.sources.clicks import feature_messages
 from fraudloom.streaming import scoring as S
@@ -111,22 +113,66 @@ def stream_deduplicate(spark, folder):
     return W.run_to_table(both, _folder(spark, "t4"))
 
 
-@query("t6_micro_batch_scoring")
+def _aligned(spark, folder):
+    """Clicks in slices that end with a graph window, so that a batch sees whole windows as the batch job does."""
+    rows = T.clicks(spark, folder)
+    return _stream(spark, "window-clicks", folder, rows, 3, F.call_function("div", F.col("ts_us"), F.lit(900_000_000)) * 900_000_000)
+
+
+def _watched(spark, folder):
+    """The log scored in three batches, blocks announced but not enforced; once per source."""
+    key = (spark.sparkContext.applicationId, "watched", source_state(spark, folder))
+    if key not in _SOURCES:
+        out = _folder(spark, "t6")
+        S.score_stream(_aligned(spark, folder), out, T.score, T.CONFIG, enforce=False, drift_threshold=10.0).awaitTermination()
+        _SOURCES[key] = out
+    return _SOURCES[key]
+
+
+@query("t6_micro_batch_scoring", sql(f"select event_id, user_id, ts_us, {r6_of('risk_raw')} as risk, level, action, reason, classification, {r6_of('score_graph')} as graph from decisions", "decisions"))
 def micro_batch_scoring(spark, folder):
-    out = _folder(spark, "t6")
-    S.score_stream(_clicks(spark, folder), out, lambda f: T.score(f, None), T.CONFIG).awaitTermination()
-    decided = spark.read.parquet(f"{out}/decisions").select("event_id", "user_id", "ts_us", "risk", "level", "action")
-    rejected = spark.read.parquet(f"{out}/rejected").select("event_id", "user_id", "ts_us", "risk", "level", "action")
-    return decided.unionByName(rejected)
+    """Decisions of a stream of three batches, with rules, graph, reasons and classification."""
+    out = spark.read.parquet(f"{_watched(spark, folder)}/decisions")
+    return out.select("event_id", "user_id", "ts_us", r6("risk_raw", "risk"), "level", "action", "reason", "classification", r6("score_graph", "graph"))
 
 
-@query("s7_fan_out")
+@query("t6_enforced_stream")
+def enforced_stream(spark, folder):
+    """The same stream with blocks enforced from the batch after the one that made them; tests check what it rejects."""
+    out = _folder(spark, "t6")
+    S.score_stream(_aligned(spark, folder), out, T.score, T.CONFIG).awaitTermination()
+    columns = ["event_id", "user_id", "ts_us", "risk", "level", "action", "reason_title"]
+    return spark.read.parquet(f"{out}/decisions").select(*columns).unionByName(spark.read.parquet(f"{out}/rejected").select(*columns))
+
+
+STREAM_ALERTS = BLOCKS + """,
+scount as (select campaign_id, block_us as ts_us, count(*) over (partition by campaign_id order by block_us range between 120000000 preceding and current row) as blocks from blocks),
+schain(campaign_id, ts_us) as (select campaign_id, min(ts_us) from scount where blocks >= 5 group by 1
+  union all select c.campaign_id, min(c.ts_us) from schain r join scount c on c.campaign_id = r.campaign_id and c.blocks >= 5 and c.ts_us > r.ts_us + 120000000 group by c.campaign_id),
+scand as (select d.user_id, d.ts_us from decisions d where level in ('HIGH', 'CRITICAL') and not exists (
+  select 1 from schain r where r.campaign_id = d.campaign_id and r.ts_us <= d.ts_us and d.ts_us < r.ts_us + 120000000)),
+uchain(user_id, ts_us) as (select user_id, min(ts_us) from scand group by 1
+  union all select c.user_id, min(c.ts_us) from uchain r join scand c on c.user_id = r.user_id and c.ts_us >= r.ts_us + 300000000 group by c.user_id),
+personal as (select d.* from uchain a join decisions d on d.user_id = a.user_id and d.ts_us = a.ts_us and d.level in ('HIGH', 'CRITICAL')
+  qualify row_number() over (partition by a.user_id, a.ts_us order by d.risk desc, d.event_id desc) = 1)"""
+
+
+@query("s7_fan_out", sql(f"""select 'fraud-predictions' as topic, user_id as key, event_id as ref, level as what, ts_us from decisions
+union all select 'fraud-alerts', user_id, event_id, level, ts_us from personal
+union all select 'fraud-alerts', campaign_id, null, 'CRITICAL', ts_us from (select distinct * from schain)
+union all select 'user-block-events', e.id, b.user_id, e.kind, block_us from blocks b, (values ('user', b.user_id), ('device', b.device_id)) e(kind, id)
+union all select 'model-updates', campaign_id, event_id, 'DRIFT_DETECTED', ts_us from ({'select s.campaign_id, s.event_id, s.ts_us from ph join seq s using (campaign_id, i) where hit'})
+union all select 'agent-events', user_id, event_id, case when risk >= 0.9 then 'block' when risk >= 0.5 then 'monitor' else 'allow' end, null from personal""",
+                         "decisions", STREAM_ALERTS.strip() + ",\n" + RESETS.strip()))
 def fan_out(spark, folder):
-    out = _folder(spark, "s7")
-    S.score_stream(_clicks(spark, folder), out, lambda f: T.score(f, None), T.CONFIG).awaitTermination()
-    rows = None
+    """Messages of all five topics."""
+    out, rows = _watched(spark, folder), None
+    ref = {"user-block-events": "linked_user"}
+    what = {"fraud-predictions": "level", "fraud-alerts": "severity", "user-block-events": "entity_type", "model-updates": "type", "agent-events": "recommendation"}
     for topic in S.TOPICS:
-        part = spark.read.parquet(f"{out}/topics/{topic}").select(F.lit(topic).alias("topic"), "key", "value")
+        field = lambda name: F.get_json_object("value", f"$.{name}")
+        part = spark.read.parquet(f"{out}/topics/{topic}").select(
+            F.lit(topic).alias("topic"), "key", field(ref.get(topic, "event_id")).alias("ref"), field(what[topic]).alias("what"), field("ts_us").cast("long").alias("ts_us"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
