@@ -112,7 +112,7 @@ class _Window:
     """Bytes of a file from a moving position on, read in steps."""
 
     def __init__(self, source, start: int, step: int) -> None:
-        self.source, self.step, self.at, self.data, self.ended = source, step, start, b"", False
+        self.source, self.step, self.at, self.data, self.ended = source, step, start, bytearray(), False
         source.seek(start)
 
     def need(self, size: int) -> bool:
@@ -123,11 +123,12 @@ class _Window:
         return len(self.data) >= size
 
     def skip(self, size: int) -> None:
-        self.data, self.at = self.data[size:], self.at + size
+        del self.data[:size]
+        self.at += size
 
 
-def _decode(window: _Window) -> tuple[bytes, int] | None:
-    """The record at the window's front and its length in the file, or None if no valid member starts there."""
+def _decode(window: _Window) -> tuple[bytes, int, bool] | None:
+    """The record at the window's front, its length in the file, and whether another member or the end follows; None if none is valid."""
     press, out, used, checked = zlib.decompressobj(31), [], 0, False
     while not press.eof:
         if not window.need(used + 1):
@@ -148,13 +149,40 @@ def _decode(window: _Window) -> tuple[bytes, int] | None:
     if not body.startswith(b"WARC/") or b"\r\n\r\n" not in body:
         return None
     window.need(used + len(MAGIC))
-    after = window.data[used:used + len(MAGIC)]
-    return (body, used) if after == MAGIC or not after else None
+    after = bytes(window.data[used:used + len(MAGIC)])
+    return body, used, after == MAGIC or not after
+
+
+def _stored_inside(source, at: int, step: int) -> bool:
+    """Whether the member at ``at`` is part of another one's payload: an earlier member that reaches beyond it.
+
+    Goes back from candidate to candidate until a member that ends before ``at`` and has another one right behind it.
+    """
+    stop = at
+    while stop > 0:
+        start = max(0, stop - step)
+        source.seek(start)
+        data = source.read(stop - start + len(MAGIC) - 1)
+        found = data.rfind(MAGIC)
+        while found >= 0:
+            got = _decode(_Window(source, start + found, step))
+            if got:
+                if start + found + got[1] > at:
+                    return True
+                if got[2]:
+                    return False
+            found = data.rfind(MAGIC, 0, found + len(MAGIC) - 1)
+        stop = start
+    return False
 
 
 def records_in(source, start: int, stop: int, step: int = 1 << 20) -> Iterator[bytes]:
-    """Decoded records of the members that start in [start, stop)."""
-    window = _Window(source, start, step)
+    """Decoded records of the members that start in [start, stop).
+
+    A valid header and checksum make a member. One that is not followed by another may be stored in the payload of an earlier one, which
+    a range that starts behind that one's start cannot know: only then the file is read backwards.
+    """
+    window, known = _Window(source, start, step), start == 0  # known: nothing before reaches beyond the window's front
     while window.at < stop and window.need(len(MAGIC)):
         found = window.data.find(MAGIC)
         if found < 0:
@@ -164,9 +192,14 @@ def records_in(source, start: int, stop: int, step: int = 1 << 20) -> Iterator[b
             return
         window.skip(found)
         got = _decode(window)
+        if got and not got[2] and not known:
+            inside = _stored_inside(source, window.at, step)
+            source.seek(window.at + len(window.data))
+            got, known = (None, False) if inside else (got, True)
         if got is None:
             window.skip(1)
         else:
+            known = True
             yield got[0]
             window.skip(got[1])
 
@@ -190,7 +223,7 @@ def read_archive(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
 
     Columns: ``event_id``, ``uri`` (null if empty), ``record_type``, ``payload_digest`` and ``payload_bytes`` of the full payload (computed
     from a response's bytes, stated by a revisit), ``refers_to`` (null but for revisits), ``payload`` (null for revisits). Damaged members
-    and bytes between members are skipped, and so is a member directly before such bytes, which cannot be told from one stored in another. A file may hold any number of ranges; a range holds one record in memory at a time.
+    and bytes between members are skipped; a member stored in another one's payload is not a record. A file may hold any number of ranges; a range holds one record in memory at a time.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))
     ranges = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start"))

@@ -75,6 +75,34 @@ def test_a_stored_member_inside_a_payload_is_not_a_record():
         assert all(parse(r)["event_id"] == "outer" for r in records_in(io.BytesIO(outer), start, len(outer)))
 
 
+def test_bytes_between_members_cost_no_record():
+    """Zero bytes behind the second of three members, whatever the range and the step."""
+    parts = [member(f"e{i}", "u", 0, bytes([65 + i]) * 300, "d", 300, None) for i in range(3)]
+    data = parts[0] + parts[1] + bytes(16) + parts[2] + bytes(5)
+    for split in (1, 7, 100, len(parts[0]) + 3, len(data)):
+        got = [parse(r)["event_id"] for start in range(0, len(data), split) for r in records_in(io.BytesIO(data), start, start + split, 64)]
+        assert got == ["e0", "e1", "e2"], split
+
+
+def test_a_stored_member_is_found_out_from_every_range():
+    inner = member("inner", "u", 0, b"abc", "d", 3, None)
+    press = zlib.compressobj(0, zlib.DEFLATED, 31)
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:event:outer>\r\nContent-Length: "
+    outer = press.compress(head + str(len(inner) * 2 + 7).encode() + b"\r\n\r\n" + inner + bytes(7) + inner + b"\r\n\r\n") + press.flush()
+    data = member("first", "u", 0, b"x", "d", 1, None) + outer + bytes(9) + member("last", "u", 0, b"y", "d", 1, None)
+    for split in (1, 5, 64, len(data)):
+        got = [parse(r)["event_id"] for start in range(0, len(data), split) for r in records_in(io.BytesIO(data), start, start + split, 32)]
+        assert len(got) == 3 and (got[0], got[2]) == ("first", "last") and "inner" not in got, split
+
+
+def test_very_long_record_is_read_in_steps():
+    import time
+    payload, started = random.Random(1).randbytes(64 << 20), time.time()
+    data = member("long", "u", 0, payload, "d", len(payload), None)
+    assert [parse(r)["payload"] == payload for r in records_in(io.BytesIO(data), 0, 100)] == [True]
+    assert time.time() - started < 60
+
+
 def test_empty_table_extra_columns_and_times(spark):
     assert read_archive(spark, write_archive(spark.createDataFrame([], KIND))).count() == 0
     df = spark.createDataFrame([(7, "u", b"x", 1_700_000_000_000_000, "d", 3)], "event_id long, uri string, payload binary, ts_us long, digest string, size int")
