@@ -141,10 +141,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: i
     return LanguageModel(languages, (table @ head).astype(np.float32), bias, heat, floor, known, usual)
 
 
-def train_on(labelled: DataFrame, per_language: int = 1000, most_languages: int = 1000, buckets: int = 1 << 15) -> LanguageModel:
-    """Fit on a bounded sample: about ``per_language`` rows of each ``lang``, chosen by a hash, at most ``most_languages`` values."""
+def train_on(labelled: DataFrame, per_language: int = 1000, buckets: int = 1 << 15) -> LanguageModel:
+    """Fit on a bounded sample: about ``per_language`` rows of each ``lang``, chosen by a hash; every value of ``lang`` is learned."""
     rows = labelled.select("event_id", "reason", "lang").filter(F.col("lang").isNotNull() & F.col("reason").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not sizes:
         return fit([], [], buckets)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
@@ -160,8 +160,7 @@ def train_on(labelled: DataFrame, per_language: int = 1000, most_languages: int
         return [x[0] for x in out], [x[1] for x in out]
 
     bags = map_rows(drawn, ["reason"], {"at": T.BinaryType(), "weight": T.BinaryType()}, bag).select("lang", "at", "weight")
-    got = bags.limit(2 * per_language * len(sizes)).collect()
-    got = sorted(((r["lang"], bytes(r["at"]), bytes(r["weight"])) for r in got if r["at"]))
+    got = sorted(((r["lang"], bytes(r["at"]), bytes(r["weight"])) for r in bags.collect() if r["at"]))
     order = np.random.default_rng(3).permutation(len(got))
     return fit([(np.frombuffer(got[i][1], dtype=np.uint32), np.frombuffer(got[i][2], dtype=np.float32).astype(np.float64)) for i in order],
                [got[i][0] for i in order], buckets)
