@@ -71,7 +71,7 @@ def fit(bags: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
     top = [i for i in (np.flatnonzero(check) if check.any() else train) if grades[i] == n_grades - 1]
     if top:
         p = 1 / (1 + np.exp(-np.clip(np.array([w[bags[i]].sum() for i in top]) - model.thresholds[-1], -40, 40)))
-        model.cut = min(0.5, float(np.quantile(p, 1 - keep)))
+        model.cut = float(np.quantile(p, 1 - keep))
     return model
 
 
@@ -88,7 +88,9 @@ def labelled_bags(records: DataFrame, labels: DataFrame, label: str, per_class:
         drawn = drawn.unionByName(part)
     some = records.select("event_id", "reason").join(F.broadcast(drawn), "event_id")  # len(classes) * per_class ids at most
     sets = map_rows(some, ["reason"], {"at": T.BinaryType()}, lambda texts: [[contained(t, buckets).astype(np.uint32).tobytes() for t in texts]])
-    out = sorted((r["class"], bytes(r["at"])) for r in sets.select("class", "at").collect())
+    # Rows that repeat an id and its text count once; a text is bounded by ``buckets``.
+    once = sets.select("class", "event_id", "at").dropDuplicates()
+    out = sorted((r["class"], bytes(r["at"])) for r in once.select("class", "at").collect())
     out = [out[i] for i in np.random.default_rng(3).permutation(len(out))]
     return [np.frombuffer(at, dtype=np.uint32).astype(np.int64) for _, at in out], np.array([k for k, _ in out], dtype=np.int64)
 
