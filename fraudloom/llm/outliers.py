@@ -87,7 +87,13 @@ def _shape(subset: DataFrame) -> DataFrame:
     return out.select("group", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
 
 
-def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, confidence: float = 1 - 1e-6, least_rows: int = 50) -> DataFrame:
+def _falls(old: DataFrame, new: DataFrame) -> float:
+    """Largest fall of a group's log determinant between two estimates: one number on the driver."""
+    det = lambda shape, name: shape.select("group", sum((F.log(F.col(f"l_{i}_{i}")) for i in range(len(DIMS))), F.lit(0.0)).alias(name))
+    return old.transform(lambda s: det(s, "a")).join(det(new, "b"), "group").agg(F.max(2 * (F.col("a") - F.col("b")))).first()[0] or 0.0
+
+
+def quality_verdict(records: DataFrame, most_steps: int = 20, core: float = 0.75, confidence: float = 1 - 1e-6, least_rows: int = 50) -> DataFrame:
     """Text statistics, base rules and the outlier verdict of every record.
 
     ``records``: ``event_id``, ``reason``, ``lang``, ``source``; further columns pass through, ``reason`` does not. Adds the
@@ -96,9 +102,10 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
 
     A record that passes the base rules is kept if its distance is within the chi-square quantile ``confidence``. Statistics are
     the shrunken logarithm of the word length and square roots of the shares of symbols, repeated lines and repeated words. The
-    estimate starts from medians and median absolute deviations and takes ``steps`` concentration steps on the ``core`` share
-    of a group's passing records that are nearest (records in one bin of distance stay together). Groups of fewer than
-    ``least_rows`` passing records are judged together as one; if that is still too few, all its records are kept.
+    estimate starts from medians and median absolute deviations and takes concentration steps on the ``core`` share of a group's
+    passing records that are nearest (records in one bin of distance stay together) until no group's determinant falls by more than
+    a hundredth, ``most_steps`` at most. A record is judged against the nearest level with ``least_rows`` passing records: its source in its
+    language, its language, or all records; if even these are fewer, against all of them.
 
     Null or empty text has no words and fails the base rules. Null ``lang`` or ``source`` is a group of its own. Repeated rows
     count as often as they occur. An empty table gives an empty result. Input columns with a result's name are replaced.
@@ -113,14 +120,23 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
         "x_symbols": F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 5.0 * prior)),
         "x_lines": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 10.0)),
         "x_repeats": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + prior))})
-    stats = materialize(stats, "text-statistics")
-    small = stats.filter("not base_failed").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    stats = stats.join(small, "_group", "left").withColumn("group", F.when(F.col("_n") >= least_rows, F.col("_group")).otherwise("rest"))
-    stats = materialize(stats.drop("_group", "_n"), "grouped-statistics")
-
-    passing = stats.filter("not base_failed").select("group", *DIMS)
+    levels = [key, F.to_json(F.struct(F.col("lang").alias("l"))), F.lit("all")]
+    stats = materialize(stats.withColumn("_levels", F.array(*levels)).drop("_group"), "text-statistics")
+    # One row a group: written, so that Spark knows its size and need not deal the records by group.
+    sizes = stats.filter("not base_failed").select(F.explode("_levels").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(sizes.filter((F.col("_n") >= least_rows) | (F.col("group") == "all")), "large-groups").select("group")
+    for i in range(2):
+        here = large.select(F.col("group").alias(f"_at{i}"), F.lit(True).alias(f"_has{i}"))
+        stats = stats.join(here, F.col("_levels")[i] == F.col(f"_at{i}"), "left")
+    stats = stats.withColumn("group", F.when(F.col("_has0"), F.col("_levels")[0]).when(F.col("_has1"), F.col("_levels")[1]).otherwise("all"))
+    stats = materialize(stats.drop("_at0", "_has0", "_at1", "_has1"), "grouped-statistics")
+
+    # A record counts at every level by which some record is judged.
+    used = materialize(stats.select("group").distinct(), "used-groups")
+    passing = stats.filter("not base_failed").select(F.explode("_levels").alias("group"), *DIMS).join(used, "group", "left_semi")
+    stats = stats.drop("_levels")
     each = passing.select("group", F.posexplode(F.array(*DIMS)).alias("dim", "x"))
-    middle = _bin_quantile(each, ["group", "dim"], F.col("x"), 0.5, 0.005, "mid")
+    middle = materialize(_bin_quantile(each, ["group", "dim"], F.col("x"), 0.5, 0.005, "mid"), "outlier-middle")
     spread = _bin_quantile(each.join(middle, ["group", "dim"]).withColumn("off", F.abs(F.col("x") - (F.col("mid") + 0.5) * 0.005)),
                            ["group", "dim"], F.col("off"), 0.5, 0.005, "mad")
     start = middle.join(spread, ["group", "dim"]).groupBy("group").agg(
@@ -130,16 +146,17 @@ def quality_verdict(records: DataFrame, steps: int = 3, core: float = 0.75, conf
     shape = materialize(start, "outlier-start")
     bin_width = 1 / 32
     level = F.log(F.col("d2") + 1e-9)
-    for _ in range(steps):
+    for _ in range(most_steps):
         far = _distance(passing, shape)
         cut = _bin_quantile(far, ["group"], level, core, bin_width, "cut")
         cut = materialize(cut, "outlier-cut")
-        shape = materialize(_shape(far.join(cut, "group").filter(F.floor(level / bin_width) <= F.col("cut"))), "outlier-step")
+        before, shape = shape, materialize(_shape(far.join(cut, "group").filter(F.floor(level / bin_width) <= F.col("cut"))), "outlier-step")
+        if _falls(before, shape) <= 0.01:
+            break
     middle = _bin_quantile(_distance(passing, shape), ["group"], level, 0.5, bin_width, "mid")
     scale = middle.select("group", F.greatest(F.exp((F.col("mid") + 0.5) * bin_width) / chi2_quantile(0.5, len(DIMS)), F.lit(1.0)).alias("scale"))
+    scale = materialize(scale, "outlier-scale")
     out = _distance(stats, shape).join(scale, "group", "left")
     out = out.withColumn("distance", F.col("d2") / F.col("scale"))
-    enough = passing.filter("group = 'rest'").limit(least_rows).count() >= least_rows
-    judged = F.lit(True) if enough else F.col("group") != "rest"
-    kept = ~F.col("base_failed") & (~judged | F.coalesce(F.col("distance") <= chi2_quantile(confidence, len(DIMS)), F.lit(True)))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(confidence, len(DIMS)), F.lit(True))
     return unpack(out.withColumn("kept", kept), records, [*COUNTS, "base_failed", "distance", "kept"], ("reason",))

@@ -54,9 +54,14 @@ def test_outliers_go_and_plain_texts_stay(spark, prose):
     assert sum(got[i].kept for i, *_ in rows if not got[i].base_failed) >= 0.99 * sum(not got[i].base_failed for i, *_ in rows)
 
 
-def test_small_groups_are_judged_together_or_not_at_all(spark, prose):
+def test_small_groups_are_judged_by_the_next_level(spark, prose):
     few = [(f"e{i}", prose(50), "en", f"s{i}") for i in range(10)]
     assert all(r.kept for r in quality_verdict(spark.createDataFrame(few, KIND)).collect())
+    # The same loud text goes whether its source, its language or only the whole table has enough rows.
+    loud = " ".join(w + "$" * 12 for w in prose(60).split())
+    for rows in ([(f"e{i}", prose(60), "en", "live") for i in range(300)], [(f"e{i}", prose(60), "en", f"s{i % 30}") for i in range(300)], [(f"e{i}", prose(60), f"l{i}", None) for i in range(45)]):
+        got = {r.event_id: r.kept for r in quality_verdict(spark.createDataFrame([*rows, ("loud", loud, "en", "live")], KIND)).collect()}
+        assert not got["loud"] and all(got[i] for i, *_ in rows)
 
 
 def test_empty_table_and_clashing_names(spark, prose):
