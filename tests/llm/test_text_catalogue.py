@@ -6,7 +6,8 @@ from fraudloom.llm.catalogue import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {"op2": "doc_id n_bytes n_removed n_spans kept_sha256", "op3": "doc_id n_assign n_access n_hex base_sha256 spans", "op4": "doc_id rate", "op5": "doc_id held_out lang_pred score",
-           "op7": "doc_id expected_grade p_top selected", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10": "doc_id fingerprint component_id"}
+           "op7": "doc_id expected_grade p_top selected", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10": "doc_id fingerprint component_id", "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
+           "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
