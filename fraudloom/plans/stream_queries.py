@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fraudloom.operators import models as M
 from fraudloom.plans import tables as T
 from fraudloom.plans.analyst_queries import BLOCKS
 from fraudloom.plans.oracle import FLAGGED, sql
@@ -13,6 +14,7 @@ from fraudloom.plans.quality_queries import RESETS
 from fraudloom.plans.registry import query, r6, r6_of, r6_sql
 from fraudloom.session import shared_folder, source_state
 from fraudloom.sources.clicks import feature_messages
+from fraudloom.streaming import learner as L
 from fraudloom.streaming import scoring as S
 from fraudloom.streaming import stateful as W
 
@@ -212,3 +214,14 @@ def stream_messages(spark, folder):
     out = W.run_to_table(feature_messages(_features(spark, folder)), _folder(spark, "s6"))
     return out.select("key", F.get_json_object("value", "$.event_id").alias("event_id"),
                       F.get_json_object("value", "$.clicks_1h").cast("double").alias("clicks_1h"))
+
+
+@query("m13_learner_stream")
+def learner_stream(spark, folder):
+    """Versions of the weights after each batch of decisions; error and purchase clicks stand for an analyst's verdicts."""
+    ready = M.standardized(T.decisions(spark, folder), T.decisions(spark, folder))
+    said = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 0)
+    rows = ready.withColumns({"score_ml": F.col("score_rules"), "feedback": said}).select(
+        "event_id", "ts_us", "level", "score_rules", "score_ml", "feedback", *L.Z)
+    log = L.learn_stream(_stream(spark, "labels", folder, rows, 6), _folder(spark, "m13"))
+    return log.versions(spark).select("batch", "now_us", "learned", r6("bias"), F.transform("weights", lambda w: r6(w, "w")).alias("weights"))
