@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from fraudloom.operators import models as M
 from fraudloom.plans import tables as T
-from fraudloom.plans.analyst_queries import BLOCKS
+from fraudloom.plans.analyst_queries import BLOCKS, INCIDENTS, _keyed
 from fraudloom.plans.oracle import FLAGGED, sql
 from fraudloom.plans.quality_queries import RESETS
 from fraudloom.plans.registry import query, r6, r6_of, r6_sql
 from fraudloom.session import shared_folder, source_state
 from fraudloom.sources.clicks import feature_messages
+from fraudloom.streaming import incidents as N
 from fraudloom.streaming import learner as L
 from fraudloom.streaming import scoring as S
 from fraudloom.streaming import stateful as W
@@ -225,3 +226,11 @@ def learner_stream(spark, folder):
         "event_id", "ts_us", "level", "score_rules", "score_ml", "feedback", *L.Z)
     log = L.learn_stream(_stream(spark, "labels", folder, rows, 6), _folder(spark, "m13"))
     return log.versions(spark).select("batch", "now_us", "learned", r6("bias"), F.transform("weights", lambda w: r6(w, "w")).alias("weights"))
+
+
+@query("i2b_incident_stream", sql("select event_id, incident from assigned", "decisions", INCIDENTS))
+def incident_stream(spark, folder):
+    """Incidents grown over five batches of suspicious clicks."""
+    rows = _keyed(spark, folder).select("event_id", "ts_us", "keys")
+    log = N.correlate_stream(_stream(spark, "suspicious", folder, rows, 5), _folder(spark, "i2b"), T.CONFIG)
+    return log.assigned(spark)

@@ -68,3 +68,24 @@ def test_mute_window_of_cluster_alert(spark):
     clusters = spark.createDataFrame([("C1", 100 * SECOND)], "campaign_id string, ts_us bigint")
     got = sorted(r["ts_us"] // SECOND for r in A.user_alerts(d, clusters, CONFIG).collect())
     assert got == [220, 521]
+
+
+def test_stream_of_incidents_equals_the_batch_form(spark):
+    """Incidents that start apart and merge later, idle out, and a repeated batch."""
+    import uuid
+
+    from fraudloom.session import shared_folder
+    from fraudloom.streaming.incidents import IncidentLog
+    S = 1_000_000
+    rows = [("a", 0, ["user:1", "ip:x"]), ("b", 50, ["user:2", "ip:y"]), ("c", 120, ["user:3", "campaign_attack:C|burst"]),
+            ("d", 200, ["user:1", "device:9"]), ("e", 230, ["user:2", "campaign_attack:C|burst"]), ("f", 260, ["device:9", "user:3"]),
+            ("g", 900, ["user:1"]), ("h", 910, ["user:2", "user:1"]), ("i", 1500, ["ip:x"])]
+    frame = lambda part: spark.createDataFrame([(i, t * S, k) for i, t, k in part], "event_id string, ts_us long, keys array<string>")
+    log = IncidentLog(f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}", EngineConfig())
+    for n, part in enumerate((rows[:3], rows[3:4], rows[4:6], rows[6:7], rows[7:])):
+        log(frame(part), n)
+        if n == 2:
+            log(frame(part), n)
+    got = {r["event_id"]: r["incident"] for r in log.assigned(spark).collect()}
+    want = {r["event_id"]: r["incident"] for r in I.correlate(frame(rows), EngineConfig()).collect()}
+    assert got == want and len(set(got.values())) == 3
