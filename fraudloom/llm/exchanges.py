@@ -2,7 +2,7 @@
 
 Two secondary-sorted streams. The first deals the messages without their text by user and sorts them from the last turn to the
 first; it carries the least cost of well-forming all later turns from each state of the wanted order, across Arrow batches, and
-keeps one byte of choices (two bits a state) for every message. At a user's first message the choices are followed in the turns'
+keeps two bytes of choices (three bits a state) for every message. At a user's first message the choices are followed in the turns'
 order. A giant exchange spills its choices to a file of the task. The second stream deals the texts by user, sorts them by turn
 behind the user's edits, and applies them, holding one message at a time.
 """
