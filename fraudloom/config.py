@@ -137,5 +137,4 @@ class EngineConfig:
     retention_days: int = 7
     retention_max_events: int = 500_000
     drift_warmup_s: int = 600
-    drift_window: int = 1500
     bucket_s: int = 300  # width of the time buckets that split a hot key over tasks
