@@ -28,7 +28,7 @@ from fraudloom.session import materialize
 SEED = 48
 PIECE = 1 << 20  # bytes of a longer text ranked at a time
 TOGETHER = 1 << 16  # bytes of short texts ranked at a time
-FLUSH = 400_000  # positions a task holds before it sorts and sends them
+FLUSH = 200_000  # positions a task holds before it sorts and sends them
 SPREAD = 4  # contexts of one seed in one flush beyond which they are dealt by context
 _LOW = np.uint64((1 << 24) - 1)
 FILTER_BITS = 1 << 23
